@@ -1,0 +1 @@
+"""Empty on purpose: every job of this library is a batch job."""
