@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,9 +54,9 @@ def degree_filtered_edges(edits: DataFrame, period: str) -> DataFrame:
     return edges.join(busy, "user_id")
 
 
-def snapshot_size(edges: DataFrame) -> DataFrame:
-    """Edges, users and articles, and users with a repeated edit."""
-    return edges.agg(
+def snapshot_size(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Edges, users and articles, and users with a repeated edit, over all or per period."""
+    return edges.groupBy(*by).agg(
         F.count(F.lit(1)).alias("edges"),
         F.countDistinct("user_id").alias("users"),
         F.countDistinct("article_id").alias("articles"),

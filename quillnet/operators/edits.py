@@ -70,8 +70,9 @@ def ratio(numerator: Column, denominator: Column, digits: int = 4) -> Column:
 
 def edit_ranks(human: DataFrame) -> DataFrame:
     """Rank of each edit by time within its article and within its user."""
-    ranked = skew.time_rank(human, "article_id", "timestamp", "article_rank")
-    return skew.time_rank(ranked, "user_id", "timestamp", "user_rank")
+    by_article = skew.time_ranks(human, "article_id", "timestamp", "article_rank")
+    by_user = skew.time_ranks(human, "user_id", "timestamp", "user_rank")
+    return human.join(by_article, ["article_id", "timestamp"]).join(by_user, ["user_id", "timestamp"])
 
 
 def first_quarters(human: DataFrame) -> DataFrame:

@@ -46,8 +46,8 @@ def ordered_index(df: DataFrame, group: Sequence[str], member: str, name: str, s
     )
 
 
-def time_rank(df: DataFrame, key: str, timestamp: str, name: str) -> DataFrame:
-    """``rank()`` by time within ``key`` for keys of any size.
+def time_ranks(df: DataFrame, key: str, timestamp: str, name: str) -> DataFrame:
+    """``rank()`` by time within ``key`` for keys of any size, one row per (key, instant).
 
     Edits are first counted per (key, instant); day totals give the rank at the start of a day
     and the instants of one day are ranked among themselves, so a window task sees at most the
@@ -60,12 +60,11 @@ def time_rank(df: DataFrame, key: str, timestamp: str, name: str) -> DataFrame:
     )
     days = instants.groupBy(key, "_day").agg(F.sum("_n").alias("_n"))
     days = days.select(key, "_day", before(Window.partitionBy(key).orderBy("_day")).alias("_before_day"))
-    ranks = (
+    return (
         instants.withColumn("_before", before(Window.partitionBy(key, "_day").orderBy(timestamp)))
         .join(days, [key, "_day"])
         .select(key, timestamp, (F.col("_before_day") + F.col("_before") + 1).alias(name))
     )
-    return df.join(ranks, [key, timestamp])
 
 
 def priority_head(
