@@ -62,3 +62,12 @@ def snapshot_size(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.countDistinct("article_id").alias("articles"),
         F.countDistinct(F.when(F.col("num_edits") > 1, F.col("user_id"))).alias("repeat_users"),
     )
+
+
+def user_activity(bipartite: DataFrame) -> DataFrame:
+    """Distinct articles, distinct days and summed contribution of each user."""
+    return bipartite.groupBy("user_id").agg(
+        F.countDistinct("article_id").alias("n_articles"),
+        F.countDistinct("edit_date").alias("n_edits"),
+        F.sum("word_count").alias("contribution"),
+    )

@@ -75,6 +75,13 @@ def edit_ranks(human: DataFrame) -> DataFrame:
     return human.join(by_article, ["article_id", "timestamp"]).join(by_user, ["user_id", "timestamp"])
 
 
+def creation_ranks(human: DataFrame) -> DataFrame:
+    """The user's own edit rank for every edit that is the first of its article."""
+    created = human.groupBy("article_id").agg(F.min("timestamp").alias("timestamp"))
+    by_user = skew.time_ranks(human, "user_id", "timestamp", "user_rank")
+    return human.join(created, ["article_id", "timestamp"]).join(by_user, ["user_id", "timestamp"])
+
+
 def first_quarters(human: DataFrame) -> DataFrame:
     """Each user's first quarter: one partial aggregate, no window over the edits."""
     return human.groupBy("user_id").agg(C.quarter_start(F.min("timestamp")).alias("first_quarter"))
