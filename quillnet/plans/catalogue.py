@@ -1,6 +1,6 @@
 """All registered queries; importing a plan module registers its queries."""
 
-from quillnet.plans import distribution_plans, edits_plans, feature_plans, projection_plans  # noqa: F401
+from quillnet.plans import community_plans, distribution_plans, edits_plans, feature_plans, projection_plans  # noqa: F401
 from quillnet.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
