@@ -98,6 +98,9 @@ def with_views(uses: str, more: str, sql: str) -> str:
     for name in uses.split():
         visit(name)
     parts = [f"{name} AS MATERIALIZED ({VIEWS[name][1]})" for name in ordered]
+    recursive = ""
+    if more.startswith("RECURSIVE "):
+        recursive, more = "RECURSIVE ", more[len("RECURSIVE "):]
     if more:
         parts.append(more)
-    return f"WITH {', '.join(parts)} {sql}" if parts else sql
+    return f"WITH {recursive}{', '.join(parts)} {sql}" if parts else sql
