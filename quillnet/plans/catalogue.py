@@ -1,6 +1,15 @@
 """All registered queries; importing a plan module registers its queries."""
 
-from quillnet.plans import community_plans, distribution_plans, edits_plans, feature_plans, graph_plans, projection_plans  # noqa: F401
+from quillnet.plans import (  # noqa: F401
+    community_plans,
+    distribution_plans,
+    edits_plans,
+    feature_plans,
+    graph_plans,
+    model_plans,
+    projection_plans,
+    role_plans,
+)
 from quillnet.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
