@@ -91,7 +91,7 @@ def _searched(estimator, grid, evaluator, rows: DataFrame, folds: int):
 
 def logistic_model(rows: DataFrame, penalties: Sequence[float] = (0.001, 0.01, 0.1), folds: int = 3):
     """L2 logistic regression on balanced classes, the penalty chosen by cross-validation."""
-    estimator = LogisticRegression(labelCol="active", weightCol="weight", elasticNetParam=0.0, maxIter=50)
+    estimator = LogisticRegression(labelCol="active", weightCol="weight", elasticNetParam=0.0, maxIter=25, tol=1e-4)
     grid = ParamGridBuilder().addGrid(estimator.regParam, list(penalties))
     evaluator = BinaryClassificationEvaluator(labelCol="active", weightCol="weight")
     return _searched(estimator, grid, evaluator, rows, folds)

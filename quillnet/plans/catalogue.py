@@ -1,11 +1,13 @@
 """All registered queries; importing a plan module registers its queries."""
 
 from quillnet.plans import (  # noqa: F401
+    block_plans,
     community_plans,
     distribution_plans,
     edits_plans,
     feature_plans,
     graph_plans,
+    ingest_plans,
     model_plans,
     projection_plans,
     role_plans,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from quillnet.operators import bipartite as B
@@ -55,8 +57,12 @@ def modelled(spark, folder, low=0.0, standardise=True):
     return M.with_split(M.balanced_weights(rows)).persist()
 
 
-# y is not rounded before its log is taken; features are compared at six digits.
-JOINED = f"""{FEATURES}, {USER_ARTICLE.replace('fe AS', 'ufe AS').replace('FROM fe JOIN', 'FROM ufe JOIN')}, {UCM}, {ACV.replace(UCM.split(', ucm AS')[0] + ', ', '')},
+def unrounded(sql: str) -> str:
+    """The same CTEs without the rounding that is only for comparing results."""
+    return re.sub(r"round\((.*?), 6\)", r"\1", sql)
+
+
+JOINED = f"""{unrounded(FEATURES)}, {unrounded(USER_ARTICLE)}, {UCM}, {ACV.replace(UCM.split(', ucm AS')[0] + ', ', '')},
 per AS (SELECT user_id, v.year, v.quarter, avg(avg_yval) AS a, avg(c_size) AS b, avg(self_yval) AS c, avg(self_csize) AS d
   FROM acv v JOIN bipartite b ON v.article_id = b.article_id AND v.quarter = quarter(b.edit_date)
   AND v.year = year(b.edit_date) GROUP BY 1, 2, 3),
