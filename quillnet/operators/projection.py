@@ -100,10 +100,10 @@ def block_chunks(
 
 
 def _bernoulli_small(
-    sized: DataFrame, group: list[str], member: str, epsilon: float, method: str, seed: int
+    sized: DataFrame, group: list[str], member: str, epsilon: float, method: str, seed: int, largest: int
 ) -> DataFrame:
     """Blocks small enough to list: every pair keeps or loses its own coin flip."""
-    pairs = group_pairs(sized, [*group, "k"], member)
+    pairs = group_pairs(sized, [*group, "k"], member, largest=largest)
     keep = C.uniform_hash("e1", "e2", *group, seed=seed) < C.keep_probability(F.col("k"), epsilon, method)
     return pairs.filter(keep)
 
@@ -147,10 +147,10 @@ def _bernoulli_large(
 
 
 def _exact_small(
-    sized: DataFrame, group: list[str], member: str, epsilon: float, method: str, seed: int
+    sized: DataFrame, group: list[str], member: str, epsilon: float, method: str, seed: int, largest: int
 ) -> DataFrame:
     """The quota of pairs of smallest hash among the listed pairs of a block."""
-    pairs = group_pairs(sized, [*group, "k"], member).withColumn(
+    pairs = group_pairs(sized, [*group, "k"], member, largest=largest).withColumn(
         "priority", C.uniform_hash("e1", "e2", *group, seed=seed)
     )
     total = C.pair_count(F.col("k"))
@@ -231,11 +231,11 @@ def sampled_pairs(
     small = k <= enumerate_up_to
     args = (group, member, epsilon, method, seed)
     parts = [
-        _bernoulli_small(sized.filter(coin & small), *args),
+        _bernoulli_small(sized.filter(coin & small), *args, enumerate_up_to),
         _bernoulli_large(sized.filter(coin & ~small), *args),
     ]
     if exact_count_from is not None:
-        parts.append(_exact_small(sized.filter(~coin & small), *args))
+        parts.append(_exact_small(sized.filter(~coin & small), *args, enumerate_up_to))
         parts.append(_exact_large(sized.filter(~coin & ~small), *args))
     pairs = [part.select(*group, "e1", "e2") for part in parts]
     result = pairs[0]

@@ -11,38 +11,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_BITS = 16
+BUCKET_BITS = 18
 CELL_MEMBERS = 2048
 
 
 def ordered_index(df: DataFrame, group: Sequence[str], member: str, name: str, start: int = 0) -> DataFrame:
     """Position of a distinct integer ``member`` inside its group, by value.
 
-    Members are bucketed by their high bits, so one window task sees at most
-    2**BUCKET_BITS members; group totals per bucket give the offsets.
+    Members are bucketed by their high bits, so the window that ranks them sees at most
+    2**BUCKET_BITS of them; the window over bucket totals sees one row per 2**BUCKET_BITS ids.
     """
     group = list(group)
-    rows = df.withColumn("_low", F.shiftright(F.col(member), BUCKET_BITS)).withColumn(
-        "_high", F.shiftright(F.col(member), 2 * BUCKET_BITS)
-    )
-    buckets = rows.groupBy(*group, "_high", "_low").agg(F.count(F.lit(1)).alias("_n"))
-    tops = buckets.groupBy(*group, "_high").agg(F.sum("_n").alias("_top"))
-    # One row per 2**32 ids of a group: a handful even for packed ids.
-    over_tops = Window.partitionBy(*group).orderBy("_high").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.withColumn("_before_top", F.coalesce(F.sum("_top").over(over_tops), F.lit(0)))
-    over_buckets = (
-        Window.partitionBy(*group, "_high").orderBy("_low").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    buckets = buckets.withColumn("_before_bucket", F.coalesce(F.sum("_n").over(over_buckets), F.lit(0)))
-    offsets = buckets.join(tops, [*group, "_high"]).select(
-        *group, "_low", (F.col("_before_top") + F.col("_before_bucket")).alias("_offset")
-    )
-    inside = F.row_number().over(Window.partitionBy(*group, "_low").orderBy(member))
+    rows = df.withColumn("_bucket", F.shiftright(F.col(member), BUCKET_BITS))
+    totals = rows.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy(member))
     return (
         rows.withColumn("_inside", inside)
-        .join(offsets, [*group, "_low"])
+        .join(offsets, [*group, "_bucket"])
         .withColumn(name, F.col("_offset") + F.col("_inside") - 1 + start)
-        .drop("_low", "_high", "_inside", "_offset")
+        .drop("_bucket", "_inside", "_offset")
     )
 
 
@@ -94,15 +83,24 @@ def priority_head(
 
 
 def group_pairs(
-    members: DataFrame, group: Sequence[str], member: str, cell_members: int = CELL_MEMBERS
+    members: DataFrame,
+    group: Sequence[str],
+    member: str,
+    cell_members: int = CELL_MEMBERS,
+    largest: int | None = None,
 ) -> DataFrame:
     """Every unordered pair (e1 < e2) of distinct members of each group, with the group columns.
 
     A group above ``cell_members`` is cut into hash buckets and the pairs are made in a triangle
     of bucket-by-bucket cells, each a join key of its own, so the pairs of one large group are
-    spread over many tasks. Smaller groups are a single cell, which is the plain self-join.
+    spread over many tasks. Smaller groups are a single cell, which is the plain self-join; when
+    the caller knows that no group has more than ``largest`` distinct members, it is all there is.
     """
     group = list(group)
+    if largest is not None and largest <= cell_members:
+        first = members.select(*group, F.col(member).alias("e1"))
+        second = members.select(*group, F.col(member).alias("e2"))
+        return first.join(second, group).filter(F.col("e1") < F.col("e2")).select(*group, "e1", "e2")
     rows = members.select(*group, member).distinct()
     large = (
         rows.groupBy(*group)
