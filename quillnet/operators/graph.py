@@ -30,20 +30,25 @@ def graph_size(edges: DataFrame) -> DataFrame:
 
 
 def build_graph(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Vertices with degree and summed weight, and both-way links partitioned by their target.
+    """Vertices with degree and summed weight, and both-way links spread by both of their ends.
 
-    The links are written once: loops join on the target without shuffling them again.
+    Hashing both ends splits the links of a hub over all partitions. The links are written once
+    for the loops that read them.
     """
-    links = cut_lineage(both_ways(edges, "weight").repartition("e2"))
+    links = cut_lineage(both_ways(edges, "weight").repartition("e1", "e2"))
     vertices = links.groupBy(F.col("e2").alias("node")).agg(
         F.count(F.lit(1)).alias("degree"), F.sum("weight").alias("weight")
     )
     return vertices, links
 
 
-def _links(edges: DataFrame) -> DataFrame:
-    """Both-way links, partitioned by their target and written once for loops."""
-    return cut_lineage(both_ways(edges).repartition("e2"))
+def written_links(edges: DataFrame) -> DataFrame:
+    """Both-way links, written once for loops.
+
+    They are left spread evenly: placing them by node would put a hub's links in one task, where a
+    skewed join could no longer split them.
+    """
+    return cut_lineage(both_ways(edges))
 
 
 def pagerank(edges: DataFrame, rounds: int = 20, damping: float = DAMPING, tolerance: float | None = None) -> DataFrame:
@@ -51,7 +56,7 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = DAMPING, toler
 
     Lineage is cut every few rounds, and with a tolerance the summed change is checked there.
     """
-    links = _links(edges)
+    links = written_links(edges)
     degrees = cut_lineage(links.groupBy(F.col("e2").alias("node")).agg(F.count(F.lit(1)).alias("degree")))
     n = degrees.count()
     ranks = degrees.select("node", "degree", F.lit(1.0 / n).alias("pagerank"))
@@ -77,7 +82,7 @@ def hits(edges: DataFrame, rounds: int = 10) -> DataFrame:
 
     Each round multiplies twice by the adjacency matrix; vectors are rescaled where the lineage is cut.
     """
-    links = _links(edges)
+    links = written_links(edges)
     scores = links.groupBy(F.col("e2").alias("node")).agg(F.lit(1.0).alias("hub"))
 
     def spread(vector: DataFrame, source: str, target: str) -> DataFrame:
@@ -156,7 +161,7 @@ def core_numbers(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     Estimates of a node's neighbours are counted per value before they meet, so a hub brings
     one row per distinct value and not one per neighbour.
     """
-    links = _links(edges)
+    links = written_links(edges)
     cores = cut_lineage(links.groupBy(F.col("e2").alias("node")).agg(F.count(F.lit(1)).alias("core")))
     at_least = F.sum("n").over(Window.partitionBy("node").orderBy(F.desc("value")))
     for _ in range(max_rounds):

@@ -6,6 +6,7 @@ from quillnet.plans import (  # noqa: F401
     distribution_plans,
     edits_plans,
     feature_plans,
+    function_plans,
     graph_plans,
     ingest_plans,
     model_plans,
