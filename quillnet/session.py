@@ -34,7 +34,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in RUNTIME_SETTINGS.items():
         builder = builder.config(key, value)
@@ -65,6 +64,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the state survives lost executors and the plan stays short."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows as a Parquet table in the shared folder.
+
+    The state survives lost executors, the plan stays short, nothing is computed twice, and the
+    size on disk tells Spark which side of a later join is small.
+    """
+    path = scratch_path(df.sparkSession, "state")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
