@@ -16,8 +16,12 @@ def period_number(year: str = "year", quarter: str = "quarter") -> Column:
 
 
 def with_base(base: DataFrame) -> DataFrame:
-    return base.select((F.floor(F.col("period") / 4)).cast("int").alias("year"),
-                       (F.col("period") % 4 + 1).cast("int").alias("quarter"), *[c for c in base.columns if c != "period"])
+    """Year and quarter back from the period number."""
+    return base.select(
+        F.floor(F.col("period") / 4).cast("int").alias("year"),
+        (F.col("period") % 4 + 1).cast("int").alias("quarter"),
+        *[c for c in base.columns if c != "period"],
+    )
 
 
 def overlap(first: DataFrame, later: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -42,15 +46,15 @@ def retention_overlap(edges: DataFrame, lags: Sequence[int] = (1, 2, 3)) -> Data
     return with_base(overlap(first, later, ["period", "lag"]))
 
 
-def _bucketed(rows: DataFrame, cuts: DataFrame, value: str, bucket: Column) -> DataFrame:
+def _bucketed(rows: DataFrame, cuts: DataFrame, bucket: Column) -> DataFrame:
     placed = rows.join(cuts, "period").withColumn("bucket", bucket)
     return placed.filter(F.col("bucket").isNotNull())
 
 
 def _by_quartile(rows: DataFrame, value: str, bucket: Column) -> DataFrame:
     cuts = rows.groupBy("period").agg(F.percentile(value, F.array(*[F.lit(q) for q in QUARTILES])).alias("cut"))
-    first = _bucketed(rows, cuts, value, bucket)
-    later = _bucketed(rows.withColumn("period", F.col("period") - 1), cuts, value, bucket)
+    first = _bucketed(rows, cuts, bucket)
+    later = _bucketed(rows.withColumn("period", F.col("period") - 1), cuts, bucket)
     return with_base(overlap(first, later, ["period", "bucket"]))
 
 

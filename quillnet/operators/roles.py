@@ -224,7 +224,7 @@ def factor_roles(
     return result, f, losses
 
 
-def description_length(rows: DataFrame, width: int, parts: int) -> DataFrame:
+def description_length(rows: DataFrame, width: int) -> DataFrame:
     """Model bits plus divergence of V (``vec``) from its product ``fit``; entries with a zero have no logarithm and are left out."""
     cells = rows.select(F.explode(F.arrays_zip("vec", "fit")).alias("c")).select(
         F.col("c.vec").alias("v"), F.col("c.fit").alias("p")

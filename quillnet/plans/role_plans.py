@@ -215,7 +215,7 @@ def factor_roles(spark, folder):
 )
 def factor_error(spark, folder):
     fits = R.rank_one_fit(W.role_vectors(spark, folder), WIDTH)
-    return rounded_columns(R.description_length(fits, WIDTH, 1))
+    return rounded_columns(R.description_length(fits, WIDTH))
 
 
 @query("rank_search")

@@ -144,7 +144,7 @@ def test_raw_records_round_trip(spark, folder, tmp_path):
     assert records.count() == edits.count()
     parsed = L.parse_revision(records)
     assert parsed.agg(F.sum("textdata")).first() == edits.agg(F.sum("textdata")).first()
-    assert parsed.filter("image is not null or revision is not null" if "revision" in parsed.columns else "image is not null").count() == 0
+    assert parsed.filter("image is not null").count() == 0
     assert L.simple_edit_rows(records).filter(F.col("user_id").startswith("ip:")).count() == 0
 
 
