@@ -1,6 +1,6 @@
 """All registered queries of the text operators."""
 
-from quillnet.llm import embedding_dedup, ngram_join, quality, secret_scan  # noqa: F401
+from quillnet.llm import embedding_dedup, ngram_join, quality, secret_scan, source_mix  # noqa: F401
 from quillnet.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
