@@ -1,6 +1,6 @@
 """All registered queries of the text operators."""
 
-from quillnet.llm import chat_format, embedding_dedup, ngram_join, quality, secret_scan, source_mix, url_filter  # noqa: F401
+from quillnet.llm import chat_format, embedding_dedup, language_id, ngram_join, quality, secret_scan, source_mix, url_filter, warc  # noqa: F401
 from quillnet.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
