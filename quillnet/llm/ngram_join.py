@@ -75,7 +75,7 @@ def shingles(text: str | None, width: int, cache: dict[bytes, int]) -> np.ndarra
         hashes.append(h)
     h = np.array(hashes, np.uint64)
     n = max(1, len(h) - width + 1)
-    out = np.full(n, np.uint64(min(width, len(h))) * np.uint64(0x9E3779B97F4A7C15))
+    out = np.full(n, min(width, len(h)) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, np.uint64)
     for k in range(min(width, len(h))):
         out = mix(out + h[k : k + n] * np.uint64(2 * k + 3))
     return np.unique(out)
@@ -421,7 +421,10 @@ def jaccard_components(
     classes = members.df.select("print", "node").join(linked, "node", "left").select("print", F.coalesce("root", "node").alias("root"))
     labelled = known.df.select("doc_id", "n_shingles", "print").join(classes, "print", "left")
     label = F.coalesce("root", "doc_id")
-    return labelled.select("doc_id", "n_shingles", F.when(label < NAMELESS, label).alias("component_id"))
+    result = State(labelled.select("doc_id", "n_shingles", F.when(label < NAMELESS, label).alias("component_id")), "components")
+    for state in (known, members, forests, placed, tops):
+        state.drop()
+    return result.df
 
 
 @query("op1_ngram_jaccard_join")
