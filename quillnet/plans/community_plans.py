@@ -15,6 +15,7 @@ from quillnet.plans.distribution_plans import human
 from quillnet.plans.feature_plans import rounded_columns
 from quillnet.plans.projection_plans import network, plain_edits
 from quillnet.plans.registry import query
+from quillnet.plans.views import per_measure, rounded
 from quillnet.sources import warehouse as W
 
 
@@ -58,30 +59,33 @@ def community_sizes(spark, folder):
     )
 
 
-UC = """uc AS (SELECT user_id, CAST(year(edit_date) AS INT) AS year, CAST(quarter(edit_date) AS INT) AS quarter,
-  ln(sum(ln(word_count + 1)) + 1) AS yval FROM bipartite GROUP BY 1, 2, 3)"""
+# What a user gave in a quarter; quarters are dates, told apart by year and number only in the results.
+EFFORTS = """efforts AS (SELECT user_id, date_trunc('quarter', edit_date) AS q, ln(1 + sum(ln(1 + word_count))) AS effort
+  FROM bipartite GROUP BY user_id, q)"""
+WHEN = "year(q)::INT AS year, quarter(q)::INT AS quarter"
 
 
 @query(
     "user_contribution",
     uses="bipartite",
-    more=UC,
-    sql="SELECT user_id, year, quarter, round(yval, 6) AS yval FROM uc",
+    more=EFFORTS,
+    sql=f"SELECT user_id, {WHEN}, round(effort, 6) AS yval FROM efforts",
 )
 def user_contribution(spark, folder):
     return rounded_columns(K.user_contribution(bipartite(spark, folder)))
 
 
-UCM = f"""{UC}, ucm AS (SELECT user_id, year, quarter, community_id, yval,
-  avg(yval) OVER (PARTITION BY community_id) AS avg_yval, count(*) OVER (PARTITION BY community_id) AS c_size,
-  rank() OVER (PARTITION BY user_id ORDER BY year, quarter) AS rk FROM uc JOIN user_comms USING (user_id))"""
+STANDING_STEPS = f"""placed AS (SELECT * FROM efforts JOIN user_comms USING (user_id)),
+standing AS ({per_measure('placed', 'community_id', {'mean_effort': 'avg(effort)', 'efforts_held': 'count(*)'})})"""
+STANDING = f"{EFFORTS}, {STANDING_STEPS}"
 
 
 @query(
     "community_window_mean",
     uses="bipartite user_comms",
-    more=UCM,
-    sql="""SELECT user_id, year, quarter, community_id, round(yval, 6) AS yval, round(avg_yval, 6) AS avg_yval, c_size FROM ucm""",
+    more=STANDING,
+    sql=f"""SELECT user_id, {WHEN}, community_id, round(effort, 6) AS yval, round(mean_effort, 6) AS avg_yval,
+      efforts_held AS c_size FROM placed JOIN standing USING (community_id)""",
 )
 def community_window_mean(spark, folder):
     contributions = K.user_contribution(bipartite(spark, folder))
@@ -91,8 +95,9 @@ def community_window_mean(spark, folder):
 @query(
     "user_community_features",
     uses="bipartite user_comms",
-    more=UCM,
-    sql="SELECT user_id, round(avg_yval, 6) AS avg_yval, c_size FROM ucm WHERE rk = 1",
+    more=STANDING,
+    sql="""SELECT DISTINCT user_id, round(mean_effort, 6) AS avg_yval, efforts_held AS c_size
+      FROM user_comms JOIN standing USING (community_id) WHERE user_id IN (SELECT user_id FROM efforts)""",
 )
 def user_community_features(spark, folder):
     contributions = K.user_contribution(bipartite(spark, folder))
@@ -102,83 +107,95 @@ def user_community_features(spark, folder):
 @query(
     "first_period_row",
     uses="bipartite",
-    more=f"{UC}, rk AS (SELECT *, rank() OVER (PARTITION BY user_id ORDER BY year, quarter) AS r FROM uc)",
-    sql="SELECT user_id, year, quarter, round(yval, 6) AS yval FROM rk WHERE r = 1",
+    more=EFFORTS,
+    sql=f"""SELECT user_id, {WHEN}, round(effort, 6) AS yval FROM efforts e
+      WHERE NOT EXISTS (SELECT 1 FROM efforts o WHERE o.user_id = e.user_id AND o.q < e.q)""",
 )
 def first_period_row(spark, folder):
     return rounded_columns(K.first_period_row(K.user_contribution(bipartite(spark, folder)), ["yval"]))
 
 
-AC = f"""{UC}, ac AS (SELECT article_id, uc.year, uc.quarter, sum(yval) AS sum_yval, count(*) AS num FROM uc JOIN bipartite b
-  ON uc.user_id = b.user_id AND uc.quarter = quarter(b.edit_date) AND uc.year = year(b.edit_date) GROUP BY 1, 2, 3)"""
+# A contributor's effort of the quarter counts once for every day on the article.
+DRAWN_STEPS = f"""days AS (SELECT article_id, b.user_id, e.q, effort FROM bipartite b, efforts e
+  WHERE b.user_id = e.user_id AND b.edit_date >= e.q AND b.edit_date < e.q + INTERVAL 3 MONTH),
+drawn AS ({per_measure('days', 'article_id, q', {'effort_sum': 'sum(effort)', 'effort_days': 'count(*)'})})"""
+DRAWN = f"{EFFORTS}, {DRAWN_STEPS}"
 
 
 @query(
     "article_contribution",
     uses="bipartite",
-    more=AC,
-    sql="SELECT article_id, year, quarter, round(sum_yval, 6) AS sum_yval, num FROM ac",
+    more=DRAWN,
+    sql=f"SELECT article_id, {WHEN}, round(effort_sum, 6) AS sum_yval, effort_days AS num FROM drawn",
 )
 def article_contribution(spark, folder):
     return rounded_columns(K.article_contribution(bipartite(spark, folder)))
 
 
-ACV = f"""{AC}, acv AS (SELECT article_id, year, quarter, community_id,
-  sum(sum_yval) OVER (PARTITION BY community_id) / sum(num) OVER (PARTITION BY community_id) AS avg_yval,
-  count(*) OVER (PARTITION BY community_id) AS c_size, sum_yval / num AS self_yval, num AS self_csize
-  FROM ac JOIN article_comms USING (article_id))"""
+POOL_STEPS = f"""pool AS (SELECT * FROM drawn JOIN article_comms USING (article_id)),
+pooled AS ({per_measure('pool', 'community_id', {'pool_mean': 'sum(effort_sum) / sum(effort_days)', 'pool_size': 'count(*)'})})"""
+POOLED = f"{DRAWN}, {POOL_STEPS}"
 
 
 @query(
     "community_weighted_mean",
     uses="bipartite article_comms",
-    more=ACV,
-    sql="""SELECT article_id, year, quarter, community_id, round(avg_yval, 6) AS avg_yval, c_size,
-      round(self_yval, 6) AS self_yval, self_csize FROM acv""",
+    more=POOLED,
+    sql=f"""SELECT article_id, {WHEN}, community_id, round(pool_mean, 6) AS avg_yval, pool_size AS c_size,
+      round(effort_sum / effort_days, 6) AS self_yval, effort_days AS self_csize FROM pool JOIN pooled USING (community_id)""",
 )
 def community_weighted_mean(spark, folder):
     contributions = K.article_contribution(bipartite(spark, folder))
     return rounded_columns(K.article_community_values(contributions, W.article_communities(spark, folder)))
 
 
+MET_STEPS = f"""{DRAWN_STEPS}, {POOL_STEPS}, met AS (SELECT days.user_id, days.q, pool_mean, pool_size, effort_sum / effort_days AS alone, effort_days
+  FROM days JOIN pool USING (article_id, q) JOIN pooled USING (community_id)),
+opening_days AS (SELECT * FROM met m WHERE q = (SELECT min(q) FROM met o WHERE o.user_id = m.user_id))"""
+MET = f"{EFFORTS}, {MET_STEPS}"
+MET_MEANS = {
+    "avg_yval": "round(avg(pool_mean), 6)",
+    "avg_csize": "round(avg(pool_size), 6)",
+    "avg_syval": "round(avg(alone), 6)",
+    "avg_scsize": "round(avg(effort_days), 6)",
+}
+
+
 @query(
     "article_community_features",
     uses="bipartite article_comms",
-    more=f"""{ACV}, per AS (SELECT user_id, v.year, v.quarter, avg(avg_yval) AS avg_yval, avg(c_size) AS avg_csize,
-      avg(self_yval) AS avg_syval, avg(self_csize) AS avg_scsize FROM acv v JOIN bipartite b ON v.article_id = b.article_id
-      AND v.quarter = quarter(b.edit_date) AND v.year = year(b.edit_date) GROUP BY 1, 2, 3),
-    rk AS (SELECT *, rank() OVER (PARTITION BY user_id ORDER BY year, quarter) AS r FROM per)""",
-    sql="""SELECT user_id, round(avg_yval, 6) AS avg_yval, round(avg_csize, 6) AS avg_csize,
-      round(avg_syval, 6) AS avg_syval, round(avg_scsize, 6) AS avg_scsize FROM rk WHERE r = 1""",
+    more=MET,
+    sql=per_measure("opening_days", "user_id", MET_MEANS),
 )
 def article_community_features(spark, folder):
     return rounded_columns(K.article_community_features(bipartite(spark, folder), W.article_communities(spark, folder)))
 
 
-CU = """cu AS (SELECT CAST(f.user_id AS BIGINT) AS u_id, community_id AS c_id, coalesce(contrib, 0) AS contrib
-  FROM firsts f LEFT JOIN contribs USING (user_id) JOIN user_comms c ON CAST(f.user_id AS BIGINT) = c.user_id),
-cf1 AS (SELECT c_id, count(*) AS members, sum(contrib) AS sum_contrib, sum(ln(contrib + 1)) AS sum_lcontrib FROM cu GROUP BY 1)"""
+PEOPLE = """people AS (SELECT c.user_id, community_id, coalesce(k.contrib, 0) AS given FROM user_comms c
+  LEFT JOIN contribs k ON k.user_id = c.user_id::VARCHAR WHERE c.user_id::VARCHAR IN (SELECT user_id FROM human))"""
+GIVEN = {"members": "count(*)", "sum_contrib": "sum(given)", "sum_lcontrib": "sum(ln(1 + given))"}
 
 
 @query(
     "community_base",
-    uses="firsts contribs user_comms",
-    more=CU,
-    sql="SELECT c_id, members, round(sum_contrib, 6) AS sum_contrib, round(sum_lcontrib, 6) AS sum_lcontrib FROM cf1",
+    uses="human contribs user_comms",
+    more=f"{PEOPLE}, given AS ({per_measure('people', 'community_id', GIVEN)})",
+    sql=f"SELECT community_id AS c_id, members, {rounded(['sum_contrib', 'sum_lcontrib'])} FROM given",
 )
 def community_base(spark, folder):
     return rounded_columns(K.community_base(members(spark, folder)))
 
 
-LINKS = f"""{CU}, links AS (SELECT u.u_id, c.c_id, count(*) AS num FROM ways e JOIN cu u ON e.e1 = u.u_id
-  JOIN cu c ON e.e2 = c.u_id WHERE c.c_id <> u.c_id GROUP BY 1, 2)"""
+CROSSINGS = f"""{PEOPLE}, crossings AS (SELECT p.user_id, there.community_id, count(*) AS links FROM people p
+  JOIN network n ON p.user_id IN (n.e1, n.e2) JOIN people there ON there.user_id = n.e1 + n.e2 - p.user_id
+  WHERE there.community_id <> p.community_id GROUP BY p.user_id, there.community_id)"""
 
 
 @query(
     "cross_community_links",
-    uses="firsts contribs user_comms ways",
-    more=LINKS,
-    sql="SELECT u_id, c_id, num FROM links",
+    uses="human contribs user_comms network",
+    more=CROSSINGS,
+    sql="SELECT user_id AS u_id, community_id AS c_id, links AS num FROM crossings",
 )
 def cross_community_links(spark, folder):
     return K.cross_community_links(network(spark, folder), members(spark, folder))
@@ -186,13 +203,14 @@ def cross_community_links(spark, folder):
 
 @query(
     "community_interactions",
-    uses="firsts contribs user_comms ways",
-    more=f"""{LINKS}, cf2 AS (SELECT u_id, avg(sum_contrib / members) AS avg_icontrib, avg(sum_lcontrib / members) AS avg_licontrib
-      FROM links JOIN cf1 USING (c_id) GROUP BY 1)""",
-    sql="""SELECT u_id, round(avg_icontrib, 6) AS avg_icontrib, round(avg_licontrib, 6) AS avg_licontrib,
-      round((sum_contrib - contrib) / greatest(members - 1, 1), 6) AS avg_contrib,
-      round((sum_lcontrib - ln(contrib + 1)) / greatest(members - 1, 1), 6) AS avg_lcontrib
-    FROM cu JOIN cf1 USING (c_id) JOIN cf2 USING (u_id)""",
+    uses="human contribs user_comms network",
+    more=f"""{CROSSINGS}, abroad AS (SELECT c.user_id, c.community_id, avg(given) AS mean, avg(ln(1 + given)) AS mean_log
+      FROM crossings c JOIN people USING (community_id) GROUP BY c.user_id, c.community_id),
+    home AS (SELECT p.user_id, avg(o.given) AS mean, avg(ln(1 + o.given)) AS mean_log FROM people p
+      LEFT JOIN people o ON o.community_id = p.community_id AND o.user_id <> p.user_id GROUP BY p.user_id)""",
+    sql="""SELECT user_id AS u_id, round(avg(a.mean), 6) AS avg_icontrib, round(avg(a.mean_log), 6) AS avg_licontrib,
+      round(coalesce(any_value(h.mean), 0), 6) AS avg_contrib, round(coalesce(any_value(h.mean_log), 0), 6) AS avg_lcontrib
+    FROM abroad a JOIN home h USING (user_id) GROUP BY user_id""",
 )
 def community_interactions(spark, folder):
     return rounded_columns(K.community_interactions(network(spark, folder), members(spark, folder)))

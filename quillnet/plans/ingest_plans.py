@@ -9,7 +9,7 @@ from quillnet.operators import features as X
 from quillnet.operators import projection as P
 from quillnet.plans.distribution_plans import human
 from quillnet.plans.edits_plans import EDIT_COLUMNS
-from quillnet.plans.feature_plans import FEATURES, rounded_columns
+from quillnet.plans.feature_plans import OWN, rounded_columns
 from quillnet.plans.projection_plans import plain_edits
 from quillnet.plans.registry import query
 from quillnet.session import scratch_path
@@ -155,9 +155,9 @@ def read_admin_names(spark, folder):
 
 @query(
     "write_feature_csv",
-    uses="firsts",
-    more=FEATURES,
-    sql="SELECT user_id, num_edits, sum_textdata, sumlog_textdata, p_distinct FROM feats",
+    uses="human",
+    more=OWN,
+    sql="SELECT user_id, num_edits, sum_textdata, sumlog_textdata, p_distinct FROM own",
 )
 def write_feature_csv(spark, folder):
     path = scratch_path(spark, "features")

@@ -10,11 +10,12 @@ from quillnet.operators import bipartite as B
 from quillnet.operators import communities as K
 from quillnet.operators import features as X
 from quillnet.operators import models as M
-from quillnet.plans.community_plans import ACV, UCM
+from quillnet.plans.community_plans import MET_MEANS, MET_STEPS, STANDING
 from quillnet.plans.distribution_plans import human
-from quillnet.plans.feature_plans import FEATURES, PEERS, USER_ARTICLE, rounded_columns
+from quillnet.plans.feature_plans import OWN, PEERS, TOUCHED, USER_ARTICLE, rounded_columns
 from quillnet.plans.projection_plans import plain_edits
 from quillnet.plans.registry import query
+from quillnet.plans.views import per_measure
 from quillnet.session import cut_lineage, scratch_path
 from quillnet.sources import warehouse as W
 
@@ -62,18 +63,18 @@ def unrounded(sql: str) -> str:
     return re.sub(r"round\((.*?), 6\)", r"\1", sql)
 
 
-JOINED = f"""{unrounded(FEATURES)}, {unrounded(USER_ARTICLE)}, {UCM}, {ACV.replace(UCM.split(', ucm AS')[0] + ', ', '')},
-per AS (SELECT user_id, v.year, v.quarter, avg(avg_yval) AS a, avg(c_size) AS b, avg(self_yval) AS c, avg(self_csize) AS d
-  FROM acv v JOIN bipartite b ON v.article_id = b.article_id AND v.quarter = quarter(b.edit_date)
-  AND v.year = year(b.edit_date) GROUP BY 1, 2, 3),
-cafs AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY user_id ORDER BY year, quarter) AS r FROM per) WHERE r = 1),
-jn AS (SELECT f.*, coalesce(l.contrib, 0) AS y, u.* EXCLUDE (user_id), coalesce(m.avg_yval, 0) AS user_cavg,
-  coalesce(m.c_size, 0) AS user_csize, coalesce(x.a, 0) AS article_cavg, coalesce(x.b, 0) AS article_csize,
-  coalesce(x.c, 0) AS article_avg, coalesce(x.d, 0) AS article_size,
+FROM_ARTICLES = per_measure("visits", "user_id", TOUCHED)
+FROM_POOLS = per_measure("opening_days", "user_id", dict(zip(COMMUNITY_COLUMNS[2:], MET_MEANS.values())))
+JOINED = f"""{unrounded(OWN)}, {unrounded(USER_ARTICLE)}, touched AS ({unrounded(FROM_ARTICLES)}), {STANDING},
+{MET_STEPS},
+from_pools AS ({unrounded(FROM_POOLS)}),
+jn AS (SELECT own.*, coalesce(contribs.contrib, 0) AS y, touched.* EXCLUDE (user_id), coalesce(mean_effort, 0) AS user_cavg,
+  coalesce(efforts_held, 0) AS user_csize, {', '.join(f'coalesce(from_pools.{c}, 0) AS {c}' for c in COMMUNITY_COLUMNS[2:])},
   {', '.join(f'coalesce(v.vec[{i + 1}], 0) AS {c}' for i, c in enumerate(ROLE_COLUMNS))}
-  FROM feats f JOIN uaf u USING (user_id) LEFT JOIN contribs l USING (user_id)
-  LEFT JOIN (SELECT * FROM ucm WHERE rk = 1) m ON f.user_id = m.user_id::VARCHAR
-  LEFT JOIN cafs x ON f.user_id = x.user_id::VARCHAR LEFT JOIN vectors v ON f.user_id = v.user_id::VARCHAR)"""
+  FROM own JOIN touched USING (user_id) LEFT JOIN contribs USING (user_id)
+  LEFT JOIN (SELECT DISTINCT user_id::VARCHAR AS user_id, mean_effort, efforts_held FROM placed JOIN standing USING (community_id)) USING (user_id)
+  LEFT JOIN (SELECT * REPLACE (user_id::VARCHAR AS user_id) FROM from_pools) AS from_pools USING (user_id)
+  LEFT JOIN (SELECT user_id::VARCHAR AS user_id, vec FROM vectors) v USING (user_id))"""
 ALL_VIEWS = "edits human firsts contribs bipartite user_comms article_comms vectors"
 JOINED_COLUMNS = [c for c in COLUMNS if c != "lslt"]
 ROUNDED_SQL = ", ".join(f"round(coalesce({c}, 0)::DOUBLE, 4) AS {c}" for c in JOINED_COLUMNS)
@@ -108,11 +109,11 @@ SCALED = ["num_edits", "distinct_article", "sum_textdata", "big_edits", "p_minor
 
 @query(
     "scale_features",
-    uses="firsts",
-    more=FEATURES,
+    uses="human",
+    more=OWN,
     sql=f"""SELECT user_id, {', '.join(f'round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 6) AS {c}' for c in SCALED)},
       {', '.join(f'round(({c} - min({c}) OVER ())::DOUBLE / (max({c}) OVER () - min({c}) OVER ()) * 2 - 1, 6) AS {c}_mm' for c in SCALED)}
-    FROM feats""",
+    FROM own""",
 )
 def scale_features(spark, folder):
     rows = X.user_features(human(spark, folder)).select("user_id", *SCALED)
@@ -213,8 +214,8 @@ def two_part_prediction(spark, folder):
 
 @query(
     "classification_metrics",
-    uses="human firsts contribs",
-    more=f"""{PEERS}, sc AS (SELECT y, coalesce(w, 0) AS p, CAST(coalesce(w, 0) >= 0.5 AS INT) AS g FROM labels LEFT JOIN norms USING (user_id)),
+    uses="human contribs",
+    more=f"""{PEERS}, sc AS (SELECT y, coalesce(weighted, 0) AS p, CAST(coalesce(weighted, 0) >= 0.5 AS INT) AS g FROM stayed LEFT JOIN means USING (user_id)),
     cl AS (SELECT avg(-CASE WHEN y = 1 THEN ln(least(greatest(p, 1e-15), 1 - 1e-15)) ELSE ln(1 - least(greatest(p, 1e-15), 1 - 1e-15)) END) AS ll,
       avg(CAST(y = g AS INT)) AS acc FROM sc),
     per AS (SELECT c, count(*) FILTER (WHERE y = c AND g = c) AS r, count(*) FILTER (WHERE y <> c AND g = c) AS w,
@@ -234,9 +235,9 @@ def classification_metrics(spark, folder):
 
 @query(
     "write_predictions",
-    uses="human firsts contribs",
+    uses="human contribs",
     more=PEERS,
-    sql="SELECT y, round(coalesce(w, 0), 6) AS prediction FROM labels LEFT JOIN norms USING (user_id)",
+    sql="SELECT y, round(coalesce(weighted, 0), 6) AS prediction FROM stayed LEFT JOIN means USING (user_id)",
 )
 def write_predictions(spark, folder):
     humans = human(spark, folder)

@@ -104,3 +104,13 @@ def with_views(uses: str, more: str, sql: str) -> str:
     if more:
         parts.append(more)
     return f"WITH {recursive}{', '.join(parts)} {sql}" if parts else sql
+
+
+def per_measure(rows: str, keys: str, measures: dict[str, str]) -> str:
+    """One grouped subquery for each measure of ``rows``, side by side on ``keys``."""
+    parts = [f"(SELECT {keys}, {value} AS {name} FROM {rows} GROUP BY {keys})" for name, value in measures.items()]
+    return f"SELECT {keys}, {', '.join(measures)} FROM {f' JOIN '.join(part + (f' USING ({keys})' if k else '') for k, part in enumerate(parts))}"
+
+
+def rounded(names, digits: int = 6) -> str:
+    return ", ".join(f"round({name}, {digits}) AS {name}" for name in names)
