@@ -169,4 +169,5 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM parts LEF
 
 @query("op3_url_filter", ORACLE)
 def url_query(spark, folder):
-    return filter_urls(table(spark, folder, "pages").select("page_id", "url"))
+    judged = filter_urls(table(spark, folder, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
