@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from quillnet.functions import columns as C
 from quillnet.operators.skew import group_pairs, ordered_index, priority_head
+from quillnet.session import cut_lineage
 
 SEED = 7
 EPSILON = 0.01
-# Largest block whose pairs are enumerated when sampling; larger blocks never list their pairs.
-ENUMERATE_UP_TO = 128
+# Draws of a block that start in one row.
+DRAWS_PER_ROW = 4096
 
 
 def shared_counts(members: DataFrame, group: Sequence[str], member: str, threshold: int = 0) -> DataFrame:
@@ -99,19 +100,10 @@ def block_chunks(
     return chunks.join(sizes, group)
 
 
-def _bernoulli_small(
-    sized: DataFrame, group: list[str], member: str, epsilon: float, method: str, seed: int, largest: int
-) -> DataFrame:
-    """Blocks small enough to list: every pair keeps or loses its own coin flip."""
-    pairs = group_pairs(sized, [*group, "k"], member, largest=largest)
-    keep = C.uniform_hash("e1", "e2", *group, seed=seed) < C.keep_probability(F.col("k"), epsilon, method)
-    return pairs.filter(keep)
-
-
-def _bernoulli_large(
+def _coin_pairs(
     sized: DataFrame, group: list[str], member: str, epsilon: float, method: str, seed: int
 ) -> DataFrame:
-    """Independent coin flips for every pair of a large block without listing the pairs.
+    """Independent coin flips for every pair of a block without listing the pairs.
 
     Throwing Poisson(-m ln(1-p)) darts at the m later members hits each of them with probability
     exactly p, independently. The dart count is the inverse Poisson distribution at a 32-bit
@@ -146,26 +138,15 @@ def _bernoulli_large(
     return hits.join(partners, [*group, "j"])
 
 
-def _exact_small(
-    sized: DataFrame, group: list[str], member: str, epsilon: float, method: str, seed: int, largest: int
-) -> DataFrame:
-    """The quota of pairs of smallest hash among the listed pairs of a block."""
-    pairs = group_pairs(sized, [*group, "k"], member, largest=largest).withColumn(
-        "priority", C.uniform_hash("e1", "e2", *group, seed=seed)
-    )
-    total = C.pair_count(F.col("k"))
-    quota = F.ceil(total * C.keep_probability(F.col("k"), epsilon, method))
-    return priority_head(pairs, group, "priority", total, quota, ["e1", "e2"]).drop("priority")
-
-
-def _exact_large(
+def _counted_pairs(
     sized: DataFrame, group: list[str], member: str, epsilon: float, method: str, seed: int
 ) -> DataFrame:
-    """Exactly the quota of distinct random pairs of a large block, by drawing pair numbers.
+    """Exactly the quota of distinct random pairs of a block, by drawing pair numbers.
 
-    Slightly more numbers than needed are drawn with repeats, repeats are dropped, and the quota
-    of smallest hash is kept. The margin is twelve standard deviations. A number in
-    [0, k(k-1)/2) is turned into a pair (i < j) and the indexes are joined back to members.
+    More numbers than needed are drawn with repeats, repeats are dropped, and the quota of smallest
+    hash is kept. The margin is twelve standard deviations; a block that still falls short is an error,
+    never a smaller sample. A number in [0, k(k-1)/2) is turned into a pair (i < j) and the indexes
+    are joined back to members.
     """
     indexed = ordered_index(sized, group, member, "i")
     p = C.keep_probability(F.col("k"), epsilon, method)
@@ -177,7 +158,7 @@ def _exact_large(
         .withColumn("draws", F.ceil(-F.col("pairs") * F.log(F.lit(1.0) - p) + 12 * F.sqrt("quota") + 64))
     )
     # Draws are started in runs so that one huge block is spread over many rows before it is exploded.
-    run = 4096
+    run = DRAWS_PER_ROW
     last_run = F.floor((F.col("draws") - 1) / run)
     runs = blocks.withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), last_run)))
     runs = runs.repartition(*group, "run")
@@ -188,6 +169,10 @@ def _exact_large(
         * F.col("pairs")
     )
     drawn = draws.select(*group, "k", "pairs", "quota", F.least(number, F.col("pairs") - 1).alias("number")).distinct()
+    found = drawn.groupBy(*group, "quota").agg(F.count(F.lit(1)).alias("found"))
+    short = F.raise_error(F.concat(F.lit("a block was drawn short of its quota of "), F.col("quota").cast("string")))
+    found = found.select(*group, F.when(F.col("found") < F.col("quota"), short.cast("bigint")).otherwise(F.col("quota")).alias("sure"))
+    drawn = drawn.join(found, group).withColumn("quota", F.col("sure")).drop("sure")
     drawn = drawn.withColumn("priority", C.uniform_hash(*group, "number", seed=seed + 2))
     kept = priority_head(drawn, group, "priority", F.col("quota"), F.col("quota"), ["number"])
     # Row j of the triangle starts at j(j-1)/2; the float root is corrected by one either way.
@@ -214,34 +199,23 @@ def sampled_pairs(
     method: str = "any",
     seed: int = SEED,
     exact_count_from: int | None = None,
-    enumerate_up_to: int = ENUMERATE_UP_TO,
 ) -> DataFrame:
     """Sampled pairs of every block: each member keeps an edge with probability at least 1 - epsilon.
 
     Blocks below ``exact_count_from`` members (all, when it is None) flip one coin per pair; larger
-    ones keep exactly ceil(k(k-1)/2 * p) pairs. Either way blocks above ``enumerate_up_to`` members
-    produce only the pairs they keep, so the work grows with the sample and not with k squared.
+    ones keep exactly ceil(k(k-1)/2 * p) pairs. Blocks of every size follow the same rule and produce
+    only the pairs they keep, so the work grows with the sample and not with k squared.
     """
     group = list(group)
     rows = members.select(*group, member).distinct()
     sizes = block_sizes(rows, group).filter(F.col("k") > 1)
-    sized = rows.join(sizes, group)
-    k = F.col("k")
-    coin = F.lit(True) if exact_count_from is None else k < exact_count_from
-    small = k <= enumerate_up_to
+    sized = cut_lineage(rows.join(sizes, group))  # written once: each rule reads it several times
     args = (group, member, epsilon, method, seed)
-    parts = [
-        _bernoulli_small(sized.filter(coin & small), *args, enumerate_up_to),
-        _bernoulli_large(sized.filter(coin & ~small), *args),
-    ]
-    if exact_count_from is not None:
-        parts.append(_exact_small(sized.filter(~coin & small), *args, enumerate_up_to))
-        parts.append(_exact_large(sized.filter(~coin & ~small), *args))
-    pairs = [part.select(*group, "e1", "e2") for part in parts]
-    result = pairs[0]
-    for part in pairs[1:]:
-        result = result.unionByName(part)
-    return result
+    if exact_count_from is None:
+        return _coin_pairs(sized, *args).select(*group, "e1", "e2")
+    few = F.col("k") < exact_count_from
+    coins = _coin_pairs(sized.filter(few), *args).select(*group, "e1", "e2")
+    return coins.unionByName(_counted_pairs(sized.filter(~few), *args).select(*group, "e1", "e2"))
 
 
 def sampled_projection(members: DataFrame, group: Sequence[str], member: str, **options) -> DataFrame:

@@ -11,7 +11,7 @@ from quillnet.operators import edits as E
 from quillnet.operators import projection as P
 from quillnet.operators import similarity as S
 from quillnet.plans.registry import query
-from quillnet.plans.views import keep, uniform
+from quillnet.plans.views import coin_pairs, counted_pairs
 from quillnet.session import cut_lineage
 from quillnet.sources import warehouse as W
 
@@ -370,19 +370,12 @@ def sampled_user_projection_timed(spark, folder):
     return edges.select(*packed, "weight")
 
 
-_EXACT = "row_number() OVER (PARTITION BY user_id ORDER BY priority, e1, e2)"
-
-
 @query(
     "fixed_count_clique_sample",
     uses="registered",
-    more=f"""{USER_EDGES}, uk AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS k FROM ua),
-    prs AS (SELECT user_id, k, a.article_id AS e1, b.article_id AS e2,
-      {uniform('a.article_id', 'b.article_id', 'user_id')} AS priority
-      FROM uk a JOIN uk b USING (user_id, k) WHERE a.article_id < b.article_id),
-    ranked AS (SELECT *, {_EXACT} AS rn FROM prs)""",
-    sql=f"""SELECT user_id, e1, e2 FROM ranked
-    WHERE CASE WHEN k < 10 THEN priority < {keep('k')} ELSE rn <= ceil(k * (k - 1) // 2 * {keep('k')}) END""",
+    more=f"""{USER_EDGES}, coins AS ({coin_pairs('ua', 'user_id', 'article_id', 'k < 10')}),
+    counted AS ({counted_pairs('ua', 'user_id', 'article_id', 'k >= 10')})""",
+    sql="SELECT user_id, e1, e2 FROM coins UNION ALL SELECT user_id, e1, e2 FROM counted",
 )
 def fixed_count_clique_sample(spark, folder):
     return P.sampled_pairs(all_edges(spark, folder), ["user_id"], "article_id", exact_count_from=10)
@@ -391,15 +384,9 @@ def fixed_count_clique_sample(spark, folder):
 @query(
     "sampled_article_projection",
     uses="members",
-    more=f"""uk AS (SELECT *, count(*) OVER (PARTITION BY user_id, year, quarter) AS k FROM members),
-    prs AS (SELECT user_id, year, quarter, k, a.article_id AS e1, b.article_id AS e2,
-      {uniform('a.article_id', 'b.article_id', 'user_id', 'year', 'quarter')} AS priority
-      FROM uk a JOIN uk b USING (user_id, year, quarter, k) WHERE a.article_id < b.article_id),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id, year, quarter ORDER BY priority, e1, e2) AS rn
-      FROM prs),
-    kept AS (SELECT * FROM ranked
-      WHERE CASE WHEN k < 10 THEN priority < {keep('k')} ELSE rn <= ceil(k * (k - 1) // 2 * {keep('k')}) END)""",
-    sql="SELECT year, quarter, e1, e2, count(*) AS weight FROM kept GROUP BY 1, 2, 3, 4",
+    more=f"""coins AS ({coin_pairs('members', 'user_id, year, quarter', 'article_id', 'k < 10')}),
+    counted AS ({counted_pairs('members', 'user_id, year, quarter', 'article_id', 'k >= 10')})""",
+    sql="""SELECT year, quarter, e1, e2, count(*) AS weight FROM (FROM coins UNION ALL FROM counted) GROUP BY ALL""",
 )
 def sampled_article_projection(spark, folder):
     return P.article_network(B.memberships(plain_edits(spark, folder)))

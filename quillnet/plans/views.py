@@ -14,6 +14,42 @@ def keep(k: str, epsilon: float = EPSILON) -> str:
     return f"(1 - pow({epsilon}, 1.0 / ({k} - 1)))"
 
 
+def coin_pairs(rows: str, group: str, member: str, condition: str = "TRUE", seed: int = SEED) -> str:
+    """The coin form of the sampler: Poisson darts of each member at the later members of its block.
+
+    The number of darts is the place of a uniform number in the Poisson distribution of the member's rate.
+    """
+    keys = [key.strip() for key in group.split(",")]
+    return f"""WITH placed AS (SELECT {group}, {member}, row_number() OVER (PARTITION BY {group} ORDER BY {member}) - 1 AS i,
+      count(*) OVER (PARTITION BY {group}) AS k FROM {rows}),
+    rated AS (SELECT *, row_number() OVER () AS id, -(k - 1 - i) * ln(1 - {keep('k')}) AS rate,
+      {uniform(member, *keys, seed=seed)} AS u FROM placed WHERE i < k - 1 AND {condition}),
+    reached AS (SELECT id, u, sum(exp(-rate + n * ln(rate) - lgamma(n + 1))) OVER (PARTITION BY id ORDER BY n) AS mass
+      FROM rated, range(64) steps(n)),
+    thrown AS (SELECT id, count(*) AS darts FROM reached WHERE mass <= u GROUP BY id),
+    aimed AS (SELECT DISTINCT {group}, {member} AS e1,
+      i + 1 + CAST(floor({uniform(member, *keys, 'dart', seed=seed + 1)} * (k - 1 - i)) AS BIGINT) AS i
+      FROM rated JOIN thrown USING (id), unnest(range(1, darts + 1)) hits(dart))
+    SELECT {group}, e1, placed.{member} AS e2 FROM aimed JOIN placed USING ({group}, i)"""
+
+
+def counted_pairs(rows: str, group: str, member: str, condition: str = "TRUE", seed: int = SEED) -> str:
+    """The fixed-count form: drawn pair numbers without repeats, the quota of smallest hash."""
+    keys = [key.strip() for key in group.split(",")]
+    return f"""WITH placed AS (SELECT {group}, {member}, row_number() OVER (PARTITION BY {group} ORDER BY {member}) - 1 AS i,
+      count(*) OVER (PARTITION BY {group}) AS k FROM {rows}),
+    blocks AS (SELECT DISTINCT {group}, k, k * (k - 1) // 2 AS pairs, {keep('k')} AS p FROM placed WHERE {condition}),
+    quotas AS (SELECT *, ceil(pairs * p) AS quota, CAST(ceil(-pairs * ln(1 - p) + 12 * sqrt(ceil(pairs * p)) + 64) AS BIGINT) AS draws FROM blocks),
+    drawn AS (SELECT DISTINCT {group}, quota, least(pairs - 1, CAST(floor(({uniform(*keys, 'draw', seed=seed)}
+      + {uniform(*keys, 'draw', seed=seed + 1)} / 4294967296.0) * pairs) AS BIGINT)) AS number
+      FROM quotas, unnest(range(draws)) tries(draw)),
+    kept AS (SELECT *, CAST(floor((1 + sqrt(1 + 8 * number)) / 2) AS BIGINT) AS j FROM drawn
+      QUALIFY row_number() OVER (PARTITION BY {group} ORDER BY {uniform(*keys, 'number', seed=seed + 2)}, number) <= quota)
+    SELECT {', '.join(f'kept.{key}' for key in keys)}, a.{member} AS e1, b.{member} AS e2 FROM kept
+      JOIN placed a ON {' AND '.join(f'a.{key} = kept.{key}' for key in keys)} AND a.i = number - j * (j - 1) // 2
+      JOIN placed b ON {' AND '.join(f'b.{key} = kept.{key}' for key in keys)} AND b.i = j"""
+
+
 # name -> (views it reads, text)
 VIEWS: dict[str, tuple[str, str]] = {
     "edits": (
@@ -48,13 +84,7 @@ VIEWS: dict[str, tuple[str, str]] = {
         "members",
         "SELECT *, count(*) OVER (PARTITION BY article_id, year, quarter) AS k FROM members",
     ),
-    "kept_pairs": (
-        "sized",
-        f"""SELECT a.article_id, a.year, a.quarter, a.user_id AS e1, b.user_id AS e2
-        FROM sized a JOIN sized b USING (article_id, year, quarter)
-        WHERE a.user_id < b.user_id
-          AND {uniform('a.user_id', 'b.user_id', 'a.article_id', 'a.year', 'a.quarter')} < {keep('a.k')}""",
-    ),
+    "kept_pairs": ("members", coin_pairs("members", "article_id, year, quarter", "user_id")),
     "network": ("kept_pairs", "SELECT e1, e2, count(*) AS weight FROM kept_pairs GROUP BY 1, 2"),
     "ways": ("network", "SELECT e1, e2, weight FROM network UNION ALL SELECT e2, e1, weight FROM network"),
     "firsts": ("human", "SELECT user_id, min(t) AS first_quarter FROM human GROUP BY 1"),

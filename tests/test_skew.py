@@ -2,11 +2,13 @@ import itertools
 import math
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quillnet.functions import columns as C
 from quillnet.operators import projection as P
+from quillnet.plans.views import coin_pairs, counted_pairs
 from quillnet.operators import skew
 
 
@@ -64,7 +66,7 @@ def blocks(spark):
 
 @pytest.mark.parametrize("exact", [None, 10])
 def test_sampled_pairs_of_large_blocks(spark, blocks, exact):
-    pairs = P.sampled_pairs(blocks, ["block"], "m", exact_count_from=exact, enumerate_up_to=16).collect()
+    pairs = P.sampled_pairs(blocks, ["block"], "m", exact_count_from=exact).collect()
     seen = {(r.block, r.e1, r.e2) for r in pairs}
     assert len(seen) == len(pairs)
     whole = {(b, x, y) for b, ms in ((1, range(0, 6000, 10)), (2, range(12)), (3, range(3)))
@@ -85,18 +87,32 @@ def test_sampled_pairs_of_large_blocks(spark, blocks, exact):
     assert len(touched) > 0.95 * 600
 
 
-def test_large_and_listed_sampling_agree_in_distribution(spark):
+def test_coins_are_fair_for_every_pair(spark):
     rows = [(b, m) for b in range(300) for m in range(20)]
     df = spark.createDataFrame(rows, "block int, m long")
     p = 1 - 0.01 ** (1 / 19)
     expected, spread = 300 * 190 * p, math.sqrt(300 * 190 * p * (1 - p))
-    for limit in (4, 64):
-        kept = P.sampled_pairs(df, ["block"], "m", enumerate_up_to=limit)
-        per_pair = kept.groupBy("e1", "e2").count().collect()
-        assert abs(sum(r["count"] for r in per_pair) - expected) < 6 * spread
-        sd = math.sqrt(300 * p * (1 - p))
-        assert all(abs(r["count"] - 300 * p) < 6 * sd for r in per_pair)
-        assert len(per_pair) == 190
+    per_pair = P.sampled_pairs(df, ["block"], "m").groupBy("e1", "e2").count().collect()
+    assert abs(sum(r["count"] for r in per_pair) - expected) < 6 * spread
+    sd = math.sqrt(300 * p * (1 - p))
+    assert all(abs(r["count"] - 300 * p) < 6 * sd for r in per_pair)
+    assert len(per_pair) == 190
+
+
+@pytest.mark.parametrize("exact", [None, 10])
+def test_one_rule_for_blocks_of_every_size(spark, exact):
+    """The SQL oracle's rule, on blocks on both sides of any size an operator might switch at."""
+    rows = [(b, 7 * m + b) for b, k in enumerate((2, 3, 9, 10, 128, 129, 300, 700)) for m in range(k)]
+    df = spark.createDataFrame(rows, "block int, m long")
+    got = {(r.block, r.e1, r.e2) for r in P.sampled_pairs(df, ["block"], "m", exact_count_from=exact).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE rows (block INT, m BIGINT)")
+    con.executemany("INSERT INTO rows VALUES (?, ?)", rows)
+    few = "TRUE" if exact is None else f"k < {exact}"
+    expected = set(con.execute(coin_pairs("rows", "block", "m", few)).fetchall())
+    if exact is not None:
+        expected |= set(con.execute(counted_pairs("rows", "block", "m", f"k >= {exact}")).fetchall())
+    assert got == expected
 
 
 def test_dense_ids_and_relabel(spark, edge_frame):
