@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -125,8 +124,3 @@ def mean_vector(vector: str, width: int) -> Column:
 
 def sum_vector(vector: str, width: int) -> Column:
     return F.array(*[F.sum(c) for c in positions(vector, width)])
-
-
-def vector_text(parts: Sequence[Column], separator: str = "\t") -> Column:
-    """Numbers and vectors joined into one line of text."""
-    return F.concat_ws(separator, *parts)

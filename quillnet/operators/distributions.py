@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillnet.operators.skew import quantiles
+
 from quillnet.functions import columns as C
 
 
@@ -86,27 +88,14 @@ def clique_edge_totals(cliques: DataFrame, small: int = 6) -> DataFrame:
 
 def percentile_columns(df: DataFrame, columns: Sequence[str], fractions: Sequence[float]) -> DataFrame:
     """Minimum, maximum and exact percentiles, one row per (column, fraction)."""
-    wanted = F.array(*[F.lit(f) for f in fractions])
-    aggregates = []
-    for name in columns:
-        aggregates += [
-            F.min(name).cast("double").alias(f"{name}_min"),
-            F.max(name).cast("double").alias(f"{name}_max"),
-            F.percentile(name, wanted).alias(f"{name}_at"),
-        ]
-    row = df.agg(*aggregates)
-    picks = [
-        F.struct(
-            F.lit(name).alias("measure"),
-            F.col(f"{name}_min").alias("smallest"),
-            F.col(f"{name}_max").alias("largest"),
-            F.lit(fraction).alias("fraction"),
-            F.element_at(f"{name}_at", i + 1).alias("value"),
-        )
-        for name in columns
-        for i, fraction in enumerate(fractions)
-    ]
-    return row.select(F.explode(F.array(*picks)).alias("r")).select("r.*")
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in columns]))
+    long = df.select(values.alias("r")).select("r.*")
+    ends = long.groupBy("measure").agg(F.min("value").alias("smallest"), F.max("value").alias("largest"))
+    at = quantiles(long, ["measure"], "value", fractions)
+    picks = [F.struct(F.lit(f).alias("fraction"), F.element_at("at", i + 1).alias("value")) for i, f in enumerate(fractions)]
+    return ends.join(at, "measure").select("measure", "smallest", "largest", F.explode(F.array(*picks)).alias("r")).select(
+        "measure", "smallest", "largest", "r.*"
+    )
 
 
 def counts_above(df: DataFrame, column: str, thresholds: Sequence[int], name: str = "n") -> DataFrame:
@@ -137,11 +126,14 @@ def threshold_sweep(edges: DataFrame, thresholds: Sequence[int], weight: str = "
 
 def summary_with_bound(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Mean, population deviation, median, size and the 1.96 standard-error bound of a value."""
-    stats = df.groupBy(*by).agg(
-        F.avg(value).alias("mean"),
-        F.stddev_pop(value).alias("deviation"),
-        F.percentile(value, 0.5).alias("median"),
-        F.count(F.lit(1)).alias("n_samples"),
+    key = list(by) or ["_all"]
+    rows = df if by else df.withColumn("_all", F.lit(0))
+    stats = rows.groupBy(*key).agg(
+        F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"), F.count(F.lit(1)).alias("n_samples")
+    )
+    medians = quantiles(rows, key, value, [0.5])
+    stats = stats.join(medians, key, "left").select(
+        *by, "mean", "deviation", F.element_at("at", 1).alias("median"), "n_samples"
     )
     return stats.withColumn("error_bound", F.col("deviation") * 1.96 / F.sqrt("n_samples"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillnet.functions import columns as C
 from quillnet.operators import skew
+from quillnet.session import cut_lineage
 
 LABEL_FROM_DAYS = 93
 LABEL_TO_DAYS = 186
@@ -69,7 +70,8 @@ def ratio(numerator: Column, denominator: Column, digits: int = 4) -> Column:
 
 
 def edit_ranks(human: DataFrame) -> DataFrame:
-    """Rank of each edit by time within its article and within its user."""
+    """Rank of each edit by time within its article and within its user; the edits are written once and read from there."""
+    human = cut_lineage(human)
     by_article = skew.time_ranks(human, "article_id", "timestamp", "article_rank")
     by_user = skew.time_ranks(human, "user_id", "timestamp", "user_rank")
     return human.join(by_article, ["article_id", "timestamp"]).join(by_user, ["user_id", "timestamp"])
@@ -77,6 +79,7 @@ def edit_ranks(human: DataFrame) -> DataFrame:
 
 def creation_ranks(human: DataFrame) -> DataFrame:
     """The user's own edit rank for every edit that is the first of its article."""
+    human = cut_lineage(human)
     created = human.groupBy("article_id").agg(F.min("timestamp").alias("timestamp"))
     by_user = skew.time_ranks(human, "user_id", "timestamp", "user_rank")
     return human.join(created, ["article_id", "timestamp"]).join(by_user, ["user_id", "timestamp"])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillnet.functions import columns as C
 from quillnet.operators import edits as E
 from quillnet.operators.skew import time_ranks
+from quillnet.session import cut_lineage
 
 # Fixed values the features are defined by.
 EPOCH_OFFSET = 979675971
@@ -40,6 +41,7 @@ def user_quarter_features(human: DataFrame) -> DataFrame:
     touched article; the first quarter is then picked per user from the summed rows, without
     joining the edits to it.
     """
+    human = cut_lineage(human.select("user_id", "article_id", "timestamp", "minor", "textdata"))
     ranks = time_ranks(human, "article_id", "timestamp", "article_rank")
     words = C.log_words(F.col("textdata"))
     per_article = (

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from quillnet.functions import columns as C
 from quillnet.operators.distributions import node_degrees
 from quillnet.operators.projection import both_ways, relabel
-from quillnet.session import cut_lineage
+from quillnet.operators.skew import group_pairs
+from quillnet.session import cut_lineage, drop_state, next_state
 
 DAMPING = 0.85
 CUT_EVERY = 5
@@ -51,15 +52,17 @@ def written_links(edges: DataFrame) -> DataFrame:
     return cut_lineage(both_ways(edges))
 
 
-def pagerank(edges: DataFrame, rounds: int = 20, damping: float = DAMPING, tolerance: float | None = None) -> DataFrame:
+def pagerank(edges: DataFrame, rounds: int = 100, damping: float = DAMPING, tolerance: float | None = 1e-4) -> DataFrame:
     """PageRank of an undirected graph; no node of an edge list is dangling.
 
-    Lineage is cut every few rounds, and with a tolerance the summed change is checked there.
+    Lineage is cut every few rounds; there the summed change of the last round is held against the
+    tolerance. ``rounds`` bounds the work where it is not reached.
     """
     links = written_links(edges)
     degrees = cut_lineage(links.groupBy(F.col("e2").alias("node")).agg(F.count(F.lit(1)).alias("degree")))
     n = degrees.count()
     ranks = degrees.select("node", "degree", F.lit(1.0 / n).alias("pagerank"))
+    state = None
     for step in range(1, rounds + 1):
         sent = ranks.select(F.col("node").alias("e2"), (F.col("pagerank") / F.col("degree")).alias("share"))
         received = links.join(sent, "e2").groupBy(F.col("e1").alias("node")).agg(F.sum("share").alias("received"))
@@ -67,17 +70,19 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = DAMPING, toler
         ranks = degrees.join(received, "node").select(
             "node", "degree", (F.col("received") * damping + (1.0 - damping) / n).alias("pagerank")
         )
-        if step % CUT_EVERY == 0 and step < rounds:
-            ranks = cut_lineage(ranks)
-            if tolerance is not None:
-                last = previous.select("node", F.col("pagerank").alias("before"))
-                change = ranks.join(last, "node").agg(F.sum(F.abs(F.col("pagerank") - F.col("before")))).first()[0]
-                if change < tolerance:
-                    break
+        if step % CUT_EVERY == 0 or step == rounds:
+            last = previous.select("node", F.col("pagerank").alias("before"))
+            moved = ranks.join(last, "node").select("node", "degree", "pagerank", F.abs(F.col("pagerank") - F.col("before")).alias("moved"))
+            state = next_state(moved, *([state] if state else []))
+            ranks = state.select("node", "degree", "pagerank")
+            if tolerance is not None and state.agg(F.sum("moved")).first()[0] < tolerance:
+                break
+    drop_state(links)
+    drop_state(degrees)
     return ranks.select("node", "pagerank")
 
 
-def hits(edges: DataFrame, rounds: int = 10) -> DataFrame:
+def hits(edges: DataFrame, rounds: int = 20) -> DataFrame:
     """Hub and authority scores of unit length.
 
     Each round multiplies twice by the adjacency matrix; vectors are rescaled where the lineage is cut.
@@ -124,13 +129,10 @@ def triangles(edges: DataFrame) -> DataFrame:
         F.when(flip, F.col("e2")).otherwise(F.col("e1")).alias("low"),
         F.when(flip, F.col("e1")).otherwise(F.col("e2")).alias("high"),
     )
-    wedges = (
-        aimed.withColumnRenamed("high", "a")
-        .join(aimed.withColumnRenamed("high", "b"), "low")
-        .filter(F.col("a") < F.col("b"))
-    )
-    closing = edges.select(F.col("e1").alias("a"), F.col("e2").alias("b"))
-    return wedges.join(closing, ["a", "b"]).select(F.col("low").alias("c"), "a", "b")
+    # Even sqrt(2m) out-edges of one node make m wedges: large ones are made in bounded cells.
+    wedges = group_pairs(cut_lineage(aimed), ["low"], "high")
+    closed = wedges.join(edges.select("e1", "e2"), ["e1", "e2"])
+    return closed.select(F.col("low").alias("c"), F.col("e1").alias("a"), F.col("e2").alias("b"))
 
 
 def triangle_counts(edges: DataFrame) -> DataFrame:
@@ -155,16 +157,18 @@ def average_clustering(edges: DataFrame) -> DataFrame:
     )
 
 
-def core_numbers(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def core_numbers(edges: DataFrame) -> DataFrame:
     """Core number of every node, as the limit of h-indexes of the neighbours' estimates.
 
+    Rounds go on until no estimate moves; a chain takes as many as half its length.
+
     Estimates of a node's neighbours are counted per value before they meet, so a hub brings
     one row per distinct value and not one per neighbour.
     """
     links = written_links(edges)
     cores = cut_lineage(links.groupBy(F.col("e2").alias("node")).agg(F.count(F.lit(1)).alias("core")))
     at_least = F.sum("n").over(Window.partitionBy("node").orderBy(F.desc("value")))
-    for _ in range(max_rounds):
+    while True:
         told = cores.select(F.col("node").alias("e2"), F.col("core").alias("value"))
         counts = links.join(told, "e2").groupBy(F.col("e1").alias("node"), "value").agg(F.count(F.lit(1)).alias("n"))
         index = (
@@ -172,12 +176,13 @@ def core_numbers(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
             .groupBy("node")
             .agg(F.max("h").alias("h"))
         )
-        cores = cut_lineage(
-            cores.join(index, "node").select("node", F.least("core", "h").alias("core"), (F.col("h") < F.col("core")).alias("moved"))
+        lower = F.col("h") < F.col("core")
+        cores = next_state(
+            cores.join(index, "node").select("node", F.least("core", "h").alias("core"), lower.alias("moved")), cores
         )
-        if not cores.filter("moved").limit(1).count():
+        if cores.filter("moved").isEmpty():
             break
-        cores = cores.select("node", "core")
+    drop_state(links)
     return cores.select("node", "core")
 
 
@@ -230,11 +235,3 @@ def adjacency_matrix(edges: DataFrame) -> DataFrame:
     _, moved = relabel(edges)
     rows = moved.select((F.col("e1") - 1).alias("e1"), (F.col("e2") - 1).alias("e2"))
     return both_ways(rows).select(F.col("e1").alias("row"), F.col("e2").alias("col"), F.lit(1.0).alias("value"))
-
-
-def coordinate_matrix(edges: DataFrame):
-    """The same matrix as a distributed ``CoordinateMatrix``."""
-    from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry
-
-    entries = adjacency_matrix(edges)
-    return CoordinateMatrix(entries.rdd.map(lambda r: MatrixEntry(r["row"], r["col"], r["value"])))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillnet.operators.skew import quantiles
+
 QUARTILES = (0.25, 0.5, 0.75)
 
 
@@ -52,7 +54,7 @@ def _bucketed(rows: DataFrame, cuts: DataFrame, bucket: Column) -> DataFrame:
 
 
 def _by_quartile(rows: DataFrame, value: str, bucket: Column) -> DataFrame:
-    cuts = rows.groupBy("period").agg(F.percentile(value, F.array(*[F.lit(q) for q in QUARTILES])).alias("cut"))
+    cuts = quantiles(rows, ["period"], value, QUARTILES, "cut")
     first = _bucketed(rows, cuts, bucket)
     later = _bucketed(rows.withColumn("period", F.col("period") - 1), cuts, bucket)
     return with_base(overlap(first, later, ["period", "bucket"]))

@@ -11,27 +11,73 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_BITS = 18
+from quillnet.session import cut_lineage
+
 CELL_MEMBERS = 2048
 
 
+def _ranged(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The rows range-partitioned by ``columns`` and written, with the number of their range as ``_part``.
+
+    Ranges hold about equal numbers of rows, however sparse or uneven the values are.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(df.repartitionByRange(parts, *columns).withColumn("_part", F.spark_partition_id()))
+
+
+def _before(totals: DataFrame, group: Sequence[str], total: str, name: str) -> DataFrame:
+    """Running totals of a group's ranges: at most one row per range and group."""
+    order = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(*group, "_part", F.coalesce(F.sum(total).over(order), F.lit(0)).alias(name))
+
+
 def ordered_index(df: DataFrame, group: Sequence[str], member: str, name: str, start: int = 0) -> DataFrame:
-    """Position of a distinct integer ``member`` inside its group, by value.
+    """Position of a distinct ``member`` inside its group, by value.
 
-    Members are bucketed by their high bits, so the window that ranks them sees at most
-    2**BUCKET_BITS of them; the window over bucket totals sees one row per 2**BUCKET_BITS ids.
+    Rows are cut into ranges of (group, member); a window ranks the rows of one range and group, and
+    offsets come from one row per range and group.
     """
     group = list(group)
-    rows = df.withColumn("_bucket", F.shiftright(F.col(member), BUCKET_BITS))
-    totals = rows.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy(member))
+    rows = _ranged(df, [*group, member])
+    totals = rows.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    inside = F.row_number().over(Window.partitionBy(*group, "_part").orderBy(member))
     return (
         rows.withColumn("_inside", inside)
-        .join(offsets, [*group, "_bucket"])
+        .join(_before(totals, group, "_n", "_offset"), [*group, "_part"])
         .withColumn(name, F.col("_offset") + F.col("_inside") - 1 + start)
-        .drop("_bucket", "_inside", "_offset")
+        .drop("_part", "_inside", "_offset")
+    )
+
+
+def quantiles(df: DataFrame, group: Sequence[str], value: str, fractions: Sequence[float], name: str = "at") -> DataFrame:
+    """Exact interpolated quantiles of each group as an array, for groups of any size; nulls are left out.
+
+    Values are counted, counts are summed over ranges of (group, value), and only the values around each
+    quantile are kept: two rows per fraction and group.
+    """
+    group = list(group)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("_v"))
+    rows = _ranged(counts.agg(F.count(F.lit(1)).alias("_n")), [*group, "_v"])
+    totals = rows.groupBy(*group, "_part").agg(F.sum("_n").alias("_n"))
+    sizes = totals.groupBy(*group).agg(F.sum("_n").alias("_size"))
+    order = Window.partitionBy(*group, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("_inside", F.coalesce(F.sum("_n").over(order), F.lit(0)))
+    placed = placed.join(_before(totals, group, "_n", "_offset"), [*group, "_part"])
+    placed = placed.join(sizes, group) if group else placed.withColumn("_size", F.lit(sizes.first()["_size"] or 0))
+    first = F.col("_offset") + F.col("_inside")
+    spots = F.array(*[F.struct(F.lit(k).alias("k"), (F.lit(float(f)) * (F.col("_size") - 1)).alias("spot")) for k, f in enumerate(fractions)])
+    inside = lambda spot: (spot >= F.col("_first")) & (spot < F.col("_first") + F.col("_n"))
+    near = placed.withColumn("_first", first).select(*group, "_v", "_n", "_first", F.explode(spots).alias("_s"))
+    low, high = F.floor("_s.spot"), F.ceil("_s.spot")
+    near = near.filter(inside(low) | inside(high))
+    picked = near.groupBy(*group, F.col("_s.k").alias("_k")).agg(
+        F.max(F.when(inside(low), F.col("_v"))).alias("low"), F.max(F.when(inside(high), F.col("_v"))).alias("high"),
+        F.first(F.col("_s.spot") - F.floor("_s.spot")).alias("part"),
+    )
+    # The same order of operations as a plain interpolated percentile.
+    mixed = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise((1 - F.col("part")) * F.col("low") + F.col("part") * F.col("high"))
+    return picked.groupBy(*group).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_k", mixed.alias("x")))), lambda e: e["x"]).alias(name)
     )
 
 

@@ -270,14 +270,14 @@ def modularity(spark, folder):
 
 @query("louvain")
 def louvain(spark, folder):
-    return L.louvain(network(spark, folder), max_rounds=4, max_levels=2)
+    return L.louvain(network(spark, folder))
 
 
 @query("louvain_di")
 def louvain_di(spark, folder):
-    return L.louvain(network(spark, folder), score=L.INDETERMINISM, max_rounds=4, max_levels=2)
+    return L.louvain(network(spark, folder), score=L.INDETERMINISM)
 
 
 @query("hierarchy_level")
 def hierarchy_level(spark, folder):
-    return L.hierarchy_level(L.louvain(network(spark, folder), max_rounds=4, max_levels=2), 0)
+    return L.hierarchy_level(L.louvain(network(spark, folder)), 0)

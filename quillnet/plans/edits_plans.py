@@ -179,9 +179,8 @@ def ratio_rounding(spark, folder):
       rank() OVER (PARTITION BY user_id ORDER BY "timestamp") AS user_rank FROM human""",
 )
 def edit_ranks(spark, folder):
-    return E.edit_ranks(E.human_edits(W.edits(spark, folder))).select(
-        "rev_id", "article_id", "user_id", "timestamp", "article_rank", "user_rank"
-    )
+    rows = E.human_edits(W.edits(spark, folder)).select("rev_id", "article_id", "user_id", "timestamp")
+    return E.edit_ranks(rows).select("rev_id", "article_id", "user_id", "timestamp", "article_rank", "user_rank")
 
 
 @query(

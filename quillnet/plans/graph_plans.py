@@ -18,10 +18,12 @@ from quillnet.plans.registry import query
 from quillnet.plans.views import uniform
 from quillnet.sources import warehouse as W
 
-PAGERANK_ROUNDS = 10
-HITS_ROUNDS = 5
-BFS_ROUNDS = 8
-CORE_ROUNDS = 40
+PAGERANK_ROUNDS = 100
+PAGERANK_TOLERANCE = 1e-4
+HITS_ROUNDS = 20
+# Rounds the oracles are unrolled to; they change nothing once a search has ended.
+BFS_ROUNDS = 24
+CORE_ROUNDS = 100
 
 
 @query(
@@ -46,7 +48,8 @@ def graph_build(spark, folder):
     return vertices
 
 
-def pagerank_ctes(rounds: int) -> str:
+def pagerank_ctes(rounds: int, every: int, tolerance: float) -> str:
+    """Rounds until the summed change, looked at every few rounds, is below the tolerance."""
     steps = ["deg AS (SELECT e1 AS node, count(*) AS d FROM ways GROUP BY 1)",
              "cnt AS (SELECT count(*)::DOUBLE AS n FROM deg)",
              "pr0 AS MATERIALIZED (SELECT node, d, 1 / n AS p FROM deg, cnt)"]
@@ -55,17 +58,24 @@ def pagerank_ctes(rounds: int) -> str:
             f"pr{i + 1} AS MATERIALIZED (SELECT e2 AS node, x.d, 0.85 * sum(p / pr{i}.d) + 0.15 / any_value(n) AS p "
             f"FROM ways JOIN pr{i} ON e1 = pr{i}.node JOIN deg x ON e2 = x.node, cnt GROUP BY 1, 2)"
         )
+    looks = range(every, rounds + 1, every)
+    moved = " UNION ALL ".join(
+        f"SELECT {k} AS step, sum(abs(a.p - b.p)) AS moved FROM pr{k} a JOIN pr{k - 1} b USING (node)" for k in looks
+    )
+    ranks = " UNION ALL ".join(f"SELECT {k} AS step, node, p FROM pr{k}" for k in looks)
+    steps.append(f"stop AS (SELECT coalesce(min(step) FILTER (moved < {tolerance}), max(step)) AS step FROM ({moved}))")
+    steps.append(f"settled AS (SELECT node, p FROM ({ranks}) JOIN stop USING (step))")
     return ", ".join(steps)
 
 
 @query(
     "pagerank",
     uses="ways",
-    more=pagerank_ctes(PAGERANK_ROUNDS),
-    sql=f"SELECT node, round(p, 9) AS pagerank FROM pr{PAGERANK_ROUNDS}",
+    more=pagerank_ctes(PAGERANK_ROUNDS, G.CUT_EVERY, PAGERANK_TOLERANCE),
+    sql="SELECT node, round(p, 9) AS pagerank FROM settled",
 )
 def pagerank(spark, folder):
-    return rounded_columns(G.pagerank(network(spark, folder), PAGERANK_ROUNDS), 9)
+    return rounded_columns(G.pagerank(network(spark, folder), PAGERANK_ROUNDS, tolerance=PAGERANK_TOLERANCE), 9)
 
 
 def hits_ctes(rounds: int) -> str:
@@ -131,6 +141,23 @@ def betweenness(spark, folder):
     return rounded_columns(T.betweenness(network(spark, folder))[0])
 
 
+EDGE_FLOWS = " UNION ALL ".join(
+    f"""SELECT least(u.node, l.node) AS e1, greatest(u.node, l.node) AS e2, u.sigma * (1 + l.delta) / l.sigma AS flow
+    FROM d{i} u JOIN ways w ON u.node = w.e1 JOIN d{i + 1} l ON l.src = u.src AND l.node = w.e2"""
+    for i in range(BFS_ROUNDS)
+)
+
+
+@query(
+    "edge_betweenness",
+    uses="ways",
+    more=brandes_ctes(BFS_ROUNDS),
+    sql=f"SELECT e1, e2, round(sum(flow) / 2, 6) AS betweenness FROM ({EDGE_FLOWS}) GROUP BY 1, 2",
+)
+def edge_betweenness(spark, folder):
+    return rounded_columns(T.betweenness(network(spark, folder))[1])
+
+
 @query(
     "eccentricity",
     uses="ways",
@@ -306,18 +333,18 @@ def adjacency_matrix(spark, folder):
 @query(
     "user_structure_stats",
     uses="ways registered",
-    more=f"""{pagerank_ctes(PAGERANK_ROUNDS)}, {hits_ctes(HITS_ROUNDS)}, hh AS ({HITS_SELECT}),
+    more=f"""{pagerank_ctes(PAGERANK_ROUNDS, G.CUT_EVERY, PAGERANK_TOLERANCE)}, {hits_ctes(HITS_ROUNDS)}, hh AS ({HITS_SELECT}),
     us AS (SELECT user_id, count(DISTINCT article_id) AS n_articles, count(*) AS n_edits,
       ln(nullif(sum(ln(nullif(textdata, 0))), 0)) AS edit_count FROM registered GROUP BY 1)""",
     sql=f"""SELECT user_id, n_articles, n_edits, round(coalesce(edit_count, 0), 6) AS edit_count,
-      round(p, 9) AS pagerank, hub FROM us JOIN pr{PAGERANK_ROUNDS} r ON user_id = r.node JOIN hh ON user_id = hh.node""",
+      round(p, 9) AS pagerank, hub FROM us JOIN settled r ON user_id = r.node JOIN hh ON user_id = hh.node""",
 )
 def user_structure_stats(spark, folder):
     edges = network(spark, folder)
     summary = K.user_summary(E.registered_edits(plain_edits(spark, folder))).select(
         "user_id", "n_articles", "n_edits", F.log("sum_strict_log_words").alias("edit_count")
     )
-    ranks = G.pagerank(edges, PAGERANK_ROUNDS).select(F.col("node").alias("user_id"), "pagerank")
+    ranks = G.pagerank(edges, PAGERANK_ROUNDS, tolerance=PAGERANK_TOLERANCE).select(F.col("node").alias("user_id"), "pagerank")
     hubs = G.hits(edges, HITS_ROUNDS).select(F.col("node").alias("user_id"), "hub")
     rows = summary.join(ranks, "user_id").join(hubs, "user_id").na.fill(0.0)
     return rows.select(

@@ -29,6 +29,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("quillnet")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="quillnet-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
@@ -71,4 +72,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "state")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    state = df.sparkSession.read.schema(df.schema).parquet(path)
+    state.written_to = path
+    return state
+
+
+def drop_state(state: DataFrame) -> None:
+    """Deletes a table of :func:`cut_lineage` that nothing reads any more."""
+    spark = state.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(state.written_to)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def next_state(df: DataFrame, *replaced: DataFrame) -> DataFrame:
+    """The rows as a new state; the states they were made from are dropped."""
+    state = cut_lineage(df)
+    for old in replaced:
+        drop_state(old)
+    return state
