@@ -91,7 +91,7 @@ def _searched(estimator, grid, evaluator, rows: DataFrame, folds: int):
 
 def logistic_model(rows: DataFrame, penalties: Sequence[float] = (0.001, 0.01, 0.1), folds: int = 3):
     """L2 logistic regression on balanced classes, the penalty chosen by cross-validation."""
-    estimator = LogisticRegression(labelCol="active", weightCol="weight", elasticNetParam=0.0, maxIter=25, tol=1e-4)
+    estimator = LogisticRegression(labelCol="active", weightCol="weight", elasticNetParam=0.0, maxIter=100, tol=1e-4)
     grid = ParamGridBuilder().addGrid(estimator.regParam, list(penalties))
     evaluator = BinaryClassificationEvaluator(labelCol="active", weightCol="weight")
     return _searched(estimator, grid, evaluator, rows, folds)
@@ -152,12 +152,14 @@ def classification_metrics(df: DataFrame, label: str, p: str) -> DataFrame:
     )
 
 
-def block_comparison(rows: DataFrame, blocks: dict[str, Sequence[str]], penalty: float = 0.01) -> DataFrame:
-    """Weighted log-loss of the logistic model on several groups of columns."""
+def block_comparison(
+    rows: DataFrame, blocks: dict[str, Sequence[str]], penalties: Sequence[float] = (0.001, 0.01, 0.1)
+) -> DataFrame:
+    """Weighted log-loss of the logistic model on several groups of columns, each with its own cross-validated penalty."""
     results = []
     for name, columns in blocks.items():
         ready = with_vector(rows, columns)
-        model = logistic_model(ready, [penalty])
+        model = logistic_model(ready, penalties)
         loss = probabilities(model, ready).agg(log_loss(F.col("active"), F.col("p"), F.col("weight"))).first()[0]
         results.append((name, len(columns), float(loss)))
     return rows.sparkSession.createDataFrame(results, "block string, n_features int, log_loss double")

@@ -10,12 +10,13 @@ import pandas as pd
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillnet.functions import columns as C
 from quillnet.operators.distributions import bin_index
 from quillnet.operators.projection import both_ways
+from quillnet.session import cut_lineage
 
 WORD_BITS = 64
 
@@ -124,11 +125,14 @@ def role_summary(summary: DataFrame, vectors: DataFrame, admins: DataFrame) -> D
     )
 
 
-def log_binned(features: DataFrame, columns: Sequence[str], share: float = 0.5, levels: int = 10) -> DataFrame:
+def log_binned(features: DataFrame, columns: Sequence[str], share: float = 0.5) -> DataFrame:
     """Vertical logarithmic bins: the lowest share of a column becomes 0, the same share of the rest 1, and so on.
 
-    Bin borders are quantiles of one aggregate pass, so no column is sorted as a whole.
+    Bins go on until the next one would hold less than one row. Borders are quantiles of one aggregate
+    pass, so no column is sorted as a whole.
     """
+    rows = max(1, features.count())
+    levels = max(1, math.ceil(math.log(rows) / -math.log(1.0 - share)))
     fractions = [1.0 - (1.0 - share) ** (i + 1) for i in range(levels)]
     borders = features.agg(
         F.struct(*[F.percentile_approx(c, fractions, 100_000).alias(c) for c in columns])
@@ -175,6 +179,11 @@ def _divergence(v: np.ndarray, product: np.ndarray) -> float:
     return float((logs - v + product).sum())
 
 
+def _entries(width: int) -> list[Column]:
+    """The entries of ``vec`` as columns, which reach numpy without lists."""
+    return [c.alias(f"_{i}") for i, c in enumerate(C.positions("vec", width))]
+
+
 def _factor_sums(vectors: DataFrame, f: np.ndarray, inner: int) -> tuple[np.ndarray, np.ndarray, float]:
     """Numerator and denominator of the F update and the loss: parts x width + parts + 1 sums."""
     parts, width = f.shape
@@ -182,7 +191,7 @@ def _factor_sums(vectors: DataFrame, f: np.ndarray, inner: int) -> tuple[np.ndar
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros(parts * width + parts + 1)
         for batch in batches:
-            v = np.array(batch["vec"].tolist(), dtype=float).reshape(-1, width)
+            v = batch.to_numpy(dtype=float)
             g = _row_factors(v, f, inner)
             product = g @ f
             sums[: parts * width] += (g.T @ (v / (product + TINY))).ravel()
@@ -190,7 +199,7 @@ def _factor_sums(vectors: DataFrame, f: np.ndarray, inner: int) -> tuple[np.ndar
             sums[-1] += _divergence(v, product)
         yield pd.DataFrame({"i": np.arange(len(sums)), "x": sums})
 
-    rows = vectors.select("vec").mapInPandas(partial, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+    rows = vectors.select(*_entries(width)).mapInPandas(partial, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
     sums = np.zeros(parts * width + parts + 1)
     for row in rows:
         sums[row["i"]] = row["x"]
@@ -198,13 +207,14 @@ def _factor_sums(vectors: DataFrame, f: np.ndarray, inner: int) -> tuple[np.ndar
 
 
 def factor_roles(
-    vectors: DataFrame, width: int, parts: int = 16, rounds: int = 30, inner: int = 30, tolerance: float = 1e-4, seed: int = 7
+    vectors: DataFrame, width: int, parts: int = 16, rounds: int = 1000, inner: int = 30, tolerance: float = 1e-4, seed: int = 7
 ) -> tuple[DataFrame, np.ndarray, list[float]]:
     """Non-negative factors of (user_id, vec): role weights per user, role definitions and the losses.
 
-    A round is one pass over the vectors; a lost executor only repeats its own rows.
+    A round is one pass over the written vectors; a lost executor only repeats its own rows. Rounds end
+    when the loss falls by less than ``tolerance`` of the first one.
     """
-    vectors = vectors.persist()
+    vectors = cut_lineage(vectors)
     means = np.array(vectors.agg(C.mean_vector("vec", width)).first()[0], dtype=float)
     f = (means + TINY) * np.random.default_rng(seed).uniform(0.5, 1.5, size=(parts, width))
     losses: list[float] = []
@@ -217,10 +227,10 @@ def factor_roles(
 
     def weights(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            v = np.array(batch["vec"].tolist(), dtype=float).reshape(-1, width)
+            v = batch.drop(columns="user_id").to_numpy(dtype=float)
             yield pd.DataFrame({"user_id": batch["user_id"], "vec": list(_row_factors(v, f, inner))})
 
-    result = vectors.mapInPandas(weights, "user_id long, vec array<double>")
+    result = vectors.select("user_id", *_entries(width)).mapInPandas(weights, "user_id long, vec array<double>")
     return result, f, losses
 
 
@@ -297,18 +307,25 @@ def role_sense(
     ``rows`` has the measures and a role vector. One aggregate pass gives all sums of products the
     fit needs; what is iterated afterwards is (measures x roles), whatever the number of users.
     """
-    roles = C.positions("vec", width)
-    values = [F.col(m).cast("double") for m in measures]
-    products = [F.sum(x * h) for x in values for h in roles]
-    grams = [F.sum(a * b) for a in roles for b in roles]
-    ones = [F.sum(x) for x in values]
-    squares = [F.sum(x * x) for x in values]
-    sums = rows.agg(F.array(*products), F.array(*grams), F.array(*ones), F.array(*squares), F.count(F.lit(1))).first()
     m = len(measures)
-    xh = np.array(sums[0]).reshape(m, width)
-    hh = np.array(sums[1]).reshape(width, width)
-    column, n = np.array(sums[2]), sums[4]
-    xx, mean = float(sum(sums[3])), float(column.sum() / (m * n))
+    size = m + width + 1
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((size, size))
+        for batch in batches:
+            x = np.column_stack([batch.to_numpy(dtype=float), np.ones(len(batch))])
+            sums += x.T @ x
+        yield pd.DataFrame({"i": np.arange(sums.size), "x": sums.ravel()})
+
+    entries = rows.select(*[F.col(c).cast("double").alias(f"m{k}") for k, c in enumerate(measures)], *_entries(width))
+    cells = entries.mapInPandas(partial, "i int, x double").groupBy("i").agg(F.sum("x").alias("x"))
+    flat = np.zeros(size * size)
+    for row in cells.collect():  # measures and roles squared, whatever the rows
+        flat[row["i"]] = row["x"]
+    sums = flat.reshape(size, size)
+    xh, hh = sums[:m, m:-1], sums[m:-1, m:-1]
+    column, n = sums[:m, -1], sums[-1, -1]
+    xx, mean = float(np.trace(sums[:m, :m])), float(column.sum() / (m * n))
     w = _fixed_factor(xh, hh, xx, mean, rounds, tolerance)
     single = _fixed_factor(column.reshape(m, 1), np.array([[float(n)]]), xx, mean, rounds, tolerance)
     result = [

@@ -167,7 +167,7 @@ def feature_elimination(spark, folder):
 
 @query("classifier_feature_elimination")
 def classifier_feature_elimination(spark, folder):
-    ranked = M.logistic_elimination(modelled(spark, folder), COLUMNS, step=12)
+    ranked = M.logistic_elimination(modelled(spark, folder), COLUMNS)
     return spark.createDataFrame(ranked, "feature string, rank int")
 
 
@@ -181,9 +181,9 @@ def top_feature_curve(spark, folder):
 @query("classifier_feature_curve")
 def classifier_feature_curve(spark, folder):
     rows = modelled(spark, folder)
-    ranked = M.logistic_elimination(rows, COLUMNS, step=23)
+    ranked = M.logistic_elimination(rows, COLUMNS)
     order = [c for c, _ in sorted(ranked, key=lambda r: r[1])]
-    return rounded_columns(spark.createDataFrame(M.logistic_curve(rows, order, [0, 1, 3, len(order)]), "n_features int, log_loss double"))
+    return rounded_columns(spark.createDataFrame(M.logistic_curve(rows, order, range(len(order) + 1)), "n_features int, log_loss double"))
 
 
 @query("activity_classifier")
@@ -212,6 +212,15 @@ def two_part_prediction(spark, folder):
     return rounded_columns(predicted.select("user_id", "target", "prediction"), 4)
 
 
+@query("two_part_r2")
+def two_part_r2(spark, folder):
+    """R squared of the two-part prediction on the log scale, over the rows held out."""
+    rows = M.with_vector(modelled(spark, folder), COLUMNS)
+    scored = M.probabilities(M.activity_model(rows.filter(~F.col("is_test"))), rows)
+    predicted = M.two_part_prediction(amounts(scored)).filter("is_test")
+    return rounded_columns(M.r_squared(predicted, "target", "prediction"), 4)
+
+
 @query(
     "classification_metrics",
     uses="human contribs",

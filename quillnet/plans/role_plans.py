@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from quillnet.functions import columns as C
@@ -14,9 +16,13 @@ from quillnet.plans.community_plans import bipartite
 from quillnet.plans.feature_plans import rounded_columns
 from quillnet.plans.projection_plans import network, plain_edits
 from quillnet.plans.registry import query
+from quillnet.session import cut_lineage
 from quillnet.sources import warehouse as W
 
-WIDTH = 8
+WIDTH = 64
+PARTS = 16
+DRAWN_RANKS = 4
+SEED = 7
 KNOWN_ROLES = range(8)
 FEATURE_COLUMNS = [f"f{i}" for i in range(27)]
 AT = "vec[{i}]"
@@ -24,9 +30,9 @@ MEAN_AT = "avg(vec[{i}])"
 SCALED_MEAN_AT = "avg(vec[{i}] / list_sum(vec) * weight)"
 
 
-def spread(df, column, prefix):
+def spread(df, column, prefix, width=WIDTH):
     """A vector column as rounded scalar columns."""
-    entries = [C.rounded(F.element_at(column, i + 1)).alias(f"{prefix}{i}") for i in range(WIDTH)]
+    entries = [C.rounded(F.element_at(column, i + 1)).alias(f"{prefix}{i}") for i in range(width)]
     return df.select(*[c for c in df.columns if c != column], *entries)
 
 
@@ -200,8 +206,8 @@ def mine_roles(spark, folder):
 
 @query("factor_roles")
 def factor_roles(spark, folder):
-    vectors, _, _ = R.factor_roles(mined(spark, folder), len(FEATURE_COLUMNS), parts=8, rounds=10)
-    return spread(vectors, "vec", "g")
+    vectors, _, _ = R.factor_roles(mined(spark, folder), len(FEATURE_COLUMNS), parts=PARTS)
+    return spread(vectors, "vec", "g", PARTS)
 
 
 @query(
@@ -220,7 +226,8 @@ def factor_error(spark, folder):
 
 @query("rank_search")
 def rank_search(spark, folder):
-    return R.rank_search(W.role_vectors(spark, folder), WIDTH, [1, 2, 4, 8], rounds=6)
+    ranks = sorted(random.Random(SEED).sample(range(1, 64), DRAWN_RANKS))
+    return R.rank_search(cut_lineage(W.role_vectors(spark, folder)), WIDTH, ranks)
 
 
 @query("role_pca")

@@ -108,7 +108,7 @@ VIEWS: dict[str, tuple[str, str]] = {
     "article_comms": ("", "SELECT p_partkey AS article_id, CAST(p_partkey % 37 AS INT) AS community_id FROM part"),
     "vectors": (
         "",
-        """SELECT vec_id AS user_id, list_transform(embedding[1:8], lambda x: abs(CAST(x AS DOUBLE))) AS vec
+        """SELECT vec_id AS user_id, list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE))) AS vec
         FROM embeddings""",
     ),
 }

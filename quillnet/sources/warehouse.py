@@ -85,7 +85,7 @@ def article_communities(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def role_vectors(spark: SparkSession, folder: str, width: int = 8) -> DataFrame:
+def role_vectors(spark: SparkSession, folder: str, width: int = 64) -> DataFrame:
     """Non-negative role vectors, one per node."""
     entries = [F.abs(F.element_at("embedding", i + 1)).cast("double") for i in range(width)]
     return table(spark, folder, "embeddings").select(
