@@ -193,8 +193,8 @@ def activity_classifier(spark, folder):
     return rounded_columns(M.probabilities(model, rows).select("user_id", "active", "p"))
 
 
-def amounts(rows, epochs=40):
-    model = M.PerceptronRegressor(COLUMNS, epochs=epochs)
+def amounts(rows):
+    model = M.PerceptronRegressor(COLUMNS)
     model.fit(rows.filter((F.col("active") == 1) & ~F.col("is_test")))
     return model.predict(rows)
 

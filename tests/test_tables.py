@@ -118,8 +118,9 @@ def test_classifier_ranks_and_scores(table):
 
 
 def test_two_part_model(table):
-    regressor = M.PerceptronRegressor(["a", "b", "c"], hidden=(6,), epochs=60, rate=0.05)
+    regressor = M.PerceptronRegressor(["a", "b", "c"], shapes=[(2,), (6,)], epochs=60, rate=0.05)
     losses = regressor.fit(table)
+    assert [shape for shape, _ in regressor.scores] == [(2,), (6,)]
     assert losses[-1] < 0.2 * losses[0]
     rows = M.with_vector(table, ["a", "b", "c"])
     scored = M.probabilities(M.activity_model(rows, layers=[(4,)], steps=30), rows)
