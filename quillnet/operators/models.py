@@ -357,7 +357,7 @@ class PerceptronRegressor:
     """The network of the shape with the least cross-validated error, trained on the whole data with Adam and an L2 penalty."""
 
     def __init__(self, columns: Sequence[str], shapes: Sequence[Sequence[int]] = SHAPES, alpha: float = 0.1, rate: float = 0.02,
-                 epochs: int = 500, tolerance: float = 1e-2, seed: int = 112358):
+                 epochs: int = 200, tolerance: float = 1e-2, seed: int = 112358):
         self.columns, self.shapes, self.alpha, self.rate = list(columns), [tuple(s) for s in shapes], alpha, rate
         self.epochs, self.tolerance, self.seed = epochs, tolerance, seed
         self.scores: list[tuple[tuple[int, ...], float]] = []
