@@ -21,7 +21,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 # Rows handed to Python at once; texts are long, so the default of 10,000 would be hundreds of megabytes.
-ARROW_ROWS = "512"
+ARROW_ROWS = "128"
 
 
 def query(key: str, sql: str | None = None) -> Callable[[Builder], Builder]:

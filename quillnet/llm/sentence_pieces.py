@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 from quillnet.llm.common import State, by_group, query, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-REMEMBERED = 300_000
+# Segments and pairs remembered by a worker, and characters it looks at together: both bound its memory.
+REMEMBERED = 100_000
+CHARS_TOGETHER = 250_000
 TOGETHER = 24
 BLANK = "▁"
 
@@ -77,7 +79,9 @@ class Pieces:
         for piece in self.id:
             where = self.letter[[ord(c) for c in piece]]
             self.inside[where[:-1], where[1:]] = True
-        self.seen: dict[str, tuple[int, ...]] = {}
+        # Packed ids of segments; the older half is dropped when the newer one is full.
+        self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.side: dict[tuple[int, int], bool] = {}
 
     def segments(self, text: str) -> list[str]:
@@ -123,7 +127,7 @@ class Pieces:
         place = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[place] == key, self.pair_ids[place], -1)
 
-    def merge_together(self, rows: Sequence[list[int]]) -> list[tuple[int, ...]]:
+    def merge_together(self, rows: Sequence[list[int]]) -> list[bytes]:
         """The same merges for many short segments in step."""
         width = max(map(len, rows))
         ids = np.full((len(rows), width + 1), -1, np.int64)
@@ -155,7 +159,8 @@ class Pieces:
                 sub_merged[here[use], at_safe[use]] = found[use]
                 sub_rank[here[use], at_safe[use]] = np.where(found[use] >= 0, self.rank[found[use]], np.inf)
             ids[active], rank[active], merged[active] = sub, sub_rank, sub_merged
-        return [tuple(row[row >= 0].tolist()) for row in ids]
+        lengths = (ids >= 0).sum(axis=1).tolist()
+        return [row[:n].tobytes() for row, n in zip(ids.astype(np.int32), lengths)]
 
     def learn(self, segments: set[str]) -> None:
         short: dict[int, list[str]] = {}
@@ -163,20 +168,31 @@ class Pieces:
             if len(segment) <= TOGETHER:
                 short.setdefault(-(-len(segment) // 6), []).append(segment)
             else:
-                self.seen[segment] = tuple(self.merge(self.start_ids(segment)))
+                self.seen[segment] = np.array(self.merge(self.start_ids(segment)), np.int32).tobytes()
         for group in short.values():
             self.seen.update(zip(group, self.merge_together([self.start_ids(s) for s in group])))
 
     def encode_plain(self, texts: Sequence[str]) -> list[np.ndarray]:
         """Ids of texts as they are, without the blank in front."""
+        out: list[np.ndarray] = []
+        first = chars = 0
+        for k, text in enumerate(texts):
+            chars += len(text)
+            if chars >= CHARS_TOGETHER or k == len(texts) - 1:
+                out += self.encode_few(texts[first : k + 1])
+                first, chars = k + 1, 0
+        return out
+
+    def encode_few(self, texts: Sequence[str]) -> list[np.ndarray]:
         cut = [self.segments(text) for text in texts]
         if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        unseen = {s for parts in cut for s in parts if s not in self.seen}
+            self.seen, self.older = {}, self.seen
+        seen, older = self.seen, self.older
+        unseen = {s for parts in cut for s in parts if s not in seen}
         if unseen:
-            self.learn(unseen)
-        seen = self.seen
-        return [np.fromiter(itertools.chain.from_iterable([seen[s] for s in parts]), np.int32) for parts in cut]
+            seen.update((s, older[s]) for s in unseen if s in older)
+            self.learn({s for s in unseen if s not in seen})
+        return [np.frombuffer(b"".join([seen[s] for s in parts]), np.int32) for parts in cut]
 
     def beside(self, a: int, b: int) -> bool:
         """Whether two pieces may stand side by side."""
