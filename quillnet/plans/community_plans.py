@@ -280,4 +280,4 @@ def louvain_di(spark, folder):
 
 @query("hierarchy_level")
 def hierarchy_level(spark, folder):
-    return L.hierarchy_level(L.louvain(network(spark, folder)), 0)
+    return L.hierarchy_level(L.louvain(network(spark, folder), max_levels=1), 0)

@@ -126,3 +126,21 @@ def test_modularity_of_two_triangles(spark, edge_frame):
     row = K.modularity(edge_frame(graphs.TWO_TRIANGLES), assignment).first()
     assert row.modularity == pytest.approx(0.5)
     assert row.indeterminism == pytest.approx(0.5)
+
+
+def test_cores_of_a_long_chain(edge_frame):
+    """A chain sheds one node from each end a round: the search has to go on until nothing moves."""
+    edges = edge_frame([(k, k + 1) for k in range(60)])
+    assert {r.core for r in G.core_numbers(edges).collect()} == {1}
+
+
+def test_replaced_states_are_dropped(spark, edge_frame):
+    import os
+
+    from quillnet.session import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file://")
+    edges = edge_frame(graphs.random_graph())
+    before = len(os.listdir(folder))
+    assert G.pagerank(edges).count()
+    assert len(os.listdir(folder)) - before <= 1
