@@ -1,6 +1,7 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
 
-The words of a source, laid end to end, are cut into blocks of ``block_words``. All blocks of the mix are
+The words of a source, laid end to end, are cut into blocks of ``block_words``, or of a ``least_blocks``-th of all
+words where that is less, so that a small corpus is not all rounding. All blocks of the mix are
 allotted to sources by the highest quotients weight / (2 seats + 1), at most ``most_passes`` times a source's own
 blocks; a source's seats are allotted the same way to its shards by their sizes. A shard then takes whole
 passes over its line and, for the rest, blocks drawn by its seed. What a document gives is the
@@ -133,6 +134,7 @@ def mix(
     shard_words: int = 1_000_000,
     seed: int = 7,
     most_sources: int = 100_000,
+    least_blocks: int = 1_000,
 ) -> DataFrame:
     """(row, doc_id, source, size, source_size, target, passes, parts, taken) of every row of ``docs``.
 
@@ -151,6 +153,7 @@ def mix(
         raise ValueError(f"more than {most_sources} sources")
     found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass")))
     sizes = np.array([r["words"] for r in found], np.int64)
+    block_words = max(1, min(block_words, int(sizes.sum()) // least_blocks))
     weight = np.array([weights[k % len(weights)] for k in range(len(found))], float)
     target = capped_targets(sizes, weight, most_passes) if len(found) else np.zeros(0)
     blocks = -(-sizes // block_words)
