@@ -144,3 +144,27 @@ def test_replaced_states_are_dropped(spark, edge_frame):
     before = len(os.listdir(folder))
     assert G.pagerank(edges).count()
     assert len(os.listdir(folder)) - before <= 1
+
+
+def test_louvain_level_ends_where_no_node_wants_to_move(edge_frame):
+    """Next to a heavy edge, later moves in a light network raise the score by far less than a thousandth."""
+    weights = dict.fromkeys(graphs.random_graph(40, 0.15), 1) | {(101, 102): 10_000}
+    edges = edge_frame([(1, 2)]).sparkSession.createDataFrame([(a, b, w) for (a, b), w in weights.items()], "e1 long, e2 long, weight long")
+    found = as_map(L.hierarchy_level(L.louvain(edges, max_levels=1), 0), "community_id")
+    m2 = 2 * sum(weights.values())
+    degree = dict.fromkeys(found, 0)
+    for (a, b), w in weights.items():
+        degree[a] += w
+        degree[b] += w
+
+    def score(groups):
+        inner = sum(2 * w for (a, b), w in weights.items() if groups[a] == groups[b])
+        totals = {}
+        for node, c in groups.items():
+            totals[c] = totals.get(c, 0) + degree[node]
+        return inner / m2 - sum(t * t for t in totals.values()) / m2**2
+
+    reached = score(found)
+    for a, b in weights:
+        assert score(found | {a: found[b]}) <= reached + 1e-12
+        assert score(found | {b: found[a]}) <= reached + 1e-12
