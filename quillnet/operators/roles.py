@@ -184,26 +184,52 @@ def _entries(width: int) -> list[Column]:
     return [c.alias(f"_{i}") for i, c in enumerate(C.positions("vec", width))]
 
 
-def _factor_sums(vectors: DataFrame, f: np.ndarray, inner: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Numerator and denominator of the F update and the loss: parts x width + parts + 1 sums."""
-    parts, width = f.shape
+def _factor_sums(vectors: DataFrame, factors: Sequence[np.ndarray], inner: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """For each F, numerator and denominator of its update and its loss: parts x width + parts + 1 sums, all in one pass."""
+    factors = list(factors)
+    sizes = [f.size + len(f) + 1 for f in factors]
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros(parts * width + parts + 1)
+        sums = [np.zeros(size) for size in sizes]
         for batch in batches:
             v = batch.to_numpy(dtype=float)
-            g = _row_factors(v, f, inner)
-            product = g @ f
-            sums[: parts * width] += (g.T @ (v / (product + TINY))).ravel()
-            sums[parts * width : -1] += g.sum(axis=0)
-            sums[-1] += _divergence(v, product)
-        yield pd.DataFrame({"i": np.arange(len(sums)), "x": sums})
-
+            for f, own in zip(factors, sums):
+                g = _row_factors(v, f, inner)
+                product = g @ f
+                own[: f.size] += (g.T @ (v / (product + TINY))).ravel()
+                own[f.size : -1] += g.sum(axis=0)
+                own[-1] += _divergence(v, product)
+        yield pd.DataFrame({"i": np.arange(sum(sizes)), "x": np.concatenate(sums)})
+
+    width = factors[0].shape[1]
     rows = vectors.select(*_entries(width)).mapInPandas(partial, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
-    sums = np.zeros(parts * width + parts + 1)
+    flat = np.zeros(sum(sizes))
     for row in rows:
-        sums[row["i"]] = row["x"]
-    return sums[: parts * width].reshape(parts, width), sums[parts * width : -1], float(sums[-1])
+        flat[row["i"]] = row["x"]
+    split = np.split(flat, np.cumsum(sizes)[:-1])
+    return [(own[: f.size].reshape(f.shape), own[f.size : -1], float(own[-1])) for f, own in zip(factors, split)]
+
+
+def _fit_factors(
+    vectors: DataFrame, width: int, ranks: Sequence[int], rounds: int, inner: int, tolerance: float, seed: int
+) -> list[tuple[np.ndarray, list[float]]]:
+    """The role definitions and losses of every number of roles, fitted side by side: a round is one pass for all that still fall."""
+    means = np.array(vectors.agg(C.mean_vector("vec", width)).first()[0], dtype=float)
+    factors = [(means + TINY) * np.random.default_rng(seed).uniform(0.5, 1.5, size=(parts, width)) for parts in ranks]
+    losses: list[list[float]] = [[] for _ in ranks]
+    left = list(range(len(factors)))
+    for _ in range(rounds):
+        falling = []
+        for k, (numerator, denominator, loss) in zip(left, _factor_sums(vectors, [factors[k] for k in left], inner)):
+            losses[k].append(loss)
+            if len(losses[k]) > 1 and losses[k][-2] - loss < tolerance * losses[k][0]:
+                continue
+            factors[k] = factors[k] * numerator / (denominator[:, None] + TINY)
+            falling.append(k)
+        left = falling
+        if not left:
+            break
+    return list(zip(factors, losses))
 
 
 def factor_roles(
@@ -215,15 +241,7 @@ def factor_roles(
     when the loss falls by less than ``tolerance`` of the first one.
     """
     vectors = cut_lineage(vectors)
-    means = np.array(vectors.agg(C.mean_vector("vec", width)).first()[0], dtype=float)
-    f = (means + TINY) * np.random.default_rng(seed).uniform(0.5, 1.5, size=(parts, width))
-    losses: list[float] = []
-    for _ in range(rounds):
-        numerator, denominator, loss = _factor_sums(vectors, f, inner)
-        losses.append(loss)
-        if len(losses) > 1 and losses[-2] - loss < tolerance * losses[0]:
-            break
-        f = f * numerator / (denominator[:, None] + TINY)
+    f, losses = _fit_factors(vectors, width, [parts], rounds, inner, tolerance, seed)[0]
 
     def weights(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -255,12 +273,13 @@ def rank_one_fit(vectors: DataFrame, width: int) -> DataFrame:
     )
 
 
-def rank_search(vectors: DataFrame, width: int, candidates: Sequence[int], **options) -> DataFrame:
-    """Final loss and description length for several numbers of roles."""
+def rank_search(
+    vectors: DataFrame, width: int, candidates: Sequence[int], rounds: int = 1000, inner: int = 30, tolerance: float = 1e-4, seed: int = 7
+) -> DataFrame:
+    """Final loss and description length for several numbers of roles, fitted side by side."""
     n = vectors.count()
     results = []
-    for parts in candidates:
-        _, _, losses = factor_roles(vectors, width, parts=parts, **options)
+    for parts, (_, losses) in zip(candidates, _fit_factors(vectors, width, candidates, rounds, inner, tolerance, seed)):
         bits = WORD_BITS * parts * (n + width)
         results.append((int(parts), float(losses[-1]), float(bits + losses[-1])))
     return vectors.sparkSession.createDataFrame(results, "parts int, loss double, description_length double")

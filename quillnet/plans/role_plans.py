@@ -21,7 +21,7 @@ from quillnet.sources import warehouse as W
 
 WIDTH = 64
 PARTS = 16
-DRAWN_RANKS = 3
+DRAWN_RANKS = 8
 SEED = 7
 KNOWN_ROLES = range(8)
 FEATURE_COLUMNS = [f"f{i}" for i in range(27)]
