@@ -22,6 +22,10 @@ from quillnet.sources import warehouse as W
 COMMUNITY_COLUMNS = ["user_cavg", "user_csize", "article_cavg", "article_csize", "article_avg", "article_size"]
 ROLE_COLUMNS = ["svd0", "svd1", "svd2", "svd3"]
 COLUMNS = [*X.USER_FEATURES, *X.ARTICLE_FEATURES, *COMMUNITY_COLUMNS, *ROLE_COLUMNS, "lslt"]
+# The two assembled tables show the first entries of the role vector, as their SQL does; models read all of it.
+ROLE_WIDTH = 64
+MODEL_ROLES = [*ROLE_COLUMNS, *[f"svd{i}" for i in range(len(ROLE_COLUMNS), ROLE_WIDTH)]]
+MODEL_COLUMNS = [*X.USER_FEATURES, *X.ARTICLE_FEATURES, *COMMUNITY_COLUMNS, *MODEL_ROLES, "lslt"]
 BASE_COLUMNS = [*X.USER_FEATURES, *X.ARTICLE_FEATURES]
 
 
@@ -35,7 +39,7 @@ def joined(spark, folder):
     tables = [
         communities.toDF("user_id", *COMMUNITY_COLUMNS[:2]),
         articles.toDF("user_id", *COMMUNITY_COLUMNS[2:]),
-        roles.select("user_id", *[F.element_at("vec", i + 1).alias(c) for i, c in enumerate(ROLE_COLUMNS)]),
+        roles.select("user_id", *[F.element_at("vec", i + 1).alias(c) for i, c in enumerate(MODEL_ROLES)]),
     ]
     tables = [t.withColumn("user_id", F.col("user_id").cast("string")) for t in tables]
     return M.feature_union(users, X.user_article_features(edits, humans), tables)
@@ -45,7 +49,7 @@ def assembled(spark, folder):
     """The model table: written once, because every fit reads it many times."""
     rows = M.assemble_features(joined(spark, folder)).select(
         "user_id",
-        *[F.col(c).cast("double").alias(c) for c in COLUMNS],
+        *[F.col(c).cast("double").alias(c) for c in MODEL_COLUMNS],
         F.col("y"),
         (F.col("y") > 0).cast("int").alias("active"),
         F.log(F.col("y") + 1).alias("target"),
@@ -54,7 +58,7 @@ def assembled(spark, folder):
 
 
 def modelled(spark, folder, low=0.0, standardise=True):
-    rows = M.scale_features(assembled(spark, folder), COLUMNS, low, 1.0, standardise)
+    rows = M.scale_features(assembled(spark, folder), MODEL_COLUMNS, low, 1.0, standardise)
     return M.with_split(M.balanced_weights(rows)).persist()
 
 
@@ -136,27 +140,27 @@ def balanced_weights(spark, folder):
 
 @query("logistic_retention")
 def logistic_retention(spark, folder):
-    rows = M.with_vector(modelled(spark, folder, -1.0, False), COLUMNS)
+    rows = M.with_vector(modelled(spark, folder, -1.0, False), MODEL_COLUMNS)
     scored = M.probabilities(M.logistic_model(rows), rows)
     return rounded_columns(scored.select("user_id", "active", "weight", "p"))
 
 
 @query("feature_block_compare")
 def feature_block_compare(spark, folder):
-    blocks = {"base": BASE_COLUMNS, "base_roles": [*BASE_COLUMNS, *ROLE_COLUMNS], "all": COLUMNS}
+    blocks = {"base": BASE_COLUMNS, "base_roles": [*BASE_COLUMNS, *MODEL_ROLES], "all": MODEL_COLUMNS}
     return M.block_comparison(modelled(spark, folder, -1.0, False), blocks)
 
 
 @query("ridge_contribution")
 def ridge_contribution(spark, folder):
-    rows = M.with_vector(modelled(spark, folder), COLUMNS)
+    rows = M.with_vector(modelled(spark, folder), MODEL_COLUMNS)
     model = M.ridge_model(rows.filter("active = 1"))
     scored = model.transform(rows).withColumnRenamed("prediction", "amount")
     return rounded_columns(scored.select("user_id", "target", "amount"))
 
 
 def moments(spark, folder):
-    return M.Moments.of(modelled(spark, folder).filter("active = 1"), COLUMNS)
+    return M.Moments.of(modelled(spark, folder).filter("active = 1"), MODEL_COLUMNS)
 
 
 @query("feature_elimination")
@@ -167,7 +171,7 @@ def feature_elimination(spark, folder):
 
 @query("classifier_feature_elimination")
 def classifier_feature_elimination(spark, folder):
-    ranked = M.logistic_elimination(modelled(spark, folder), COLUMNS)
+    ranked = M.logistic_elimination(modelled(spark, folder), MODEL_COLUMNS)
     return spark.createDataFrame(ranked, "feature string, rank int")
 
 
@@ -181,20 +185,20 @@ def top_feature_curve(spark, folder):
 @query("classifier_feature_curve")
 def classifier_feature_curve(spark, folder):
     rows = modelled(spark, folder)
-    ranked = M.logistic_elimination(rows, COLUMNS)
+    ranked = M.logistic_elimination(rows, MODEL_COLUMNS)
     order = [c for c, _ in sorted(ranked, key=lambda r: r[1])]
     return rounded_columns(spark.createDataFrame(M.logistic_curve(rows, order, range(len(order) + 1)), "n_features int, log_loss double"))
 
 
 @query("activity_classifier")
 def activity_classifier(spark, folder):
-    rows = M.with_vector(modelled(spark, folder), COLUMNS)
+    rows = M.with_vector(modelled(spark, folder), MODEL_COLUMNS)
     model = M.activity_model(rows.filter(~F.col("is_test")))
     return rounded_columns(M.probabilities(model, rows).select("user_id", "active", "p"))
 
 
 def amounts(rows):
-    model = M.PerceptronRegressor(COLUMNS)
+    model = M.PerceptronRegressor(MODEL_COLUMNS)
     model.fit(rows.filter((F.col("active") == 1) & ~F.col("is_test")))
     return model.predict(rows)
 
@@ -206,7 +210,7 @@ def contribution_regressor(spark, folder):
 
 @query("two_part_prediction")
 def two_part_prediction(spark, folder):
-    rows = M.with_vector(modelled(spark, folder), COLUMNS)
+    rows = M.with_vector(modelled(spark, folder), MODEL_COLUMNS)
     scored = M.probabilities(M.activity_model(rows.filter(~F.col("is_test"))), rows)
     predicted = M.two_part_prediction(amounts(scored))
     return rounded_columns(predicted.select("user_id", "target", "prediction"), 4)
@@ -215,7 +219,7 @@ def two_part_prediction(spark, folder):
 @query("two_part_r2")
 def two_part_r2(spark, folder):
     """R squared of the two-part prediction on the log scale, over the rows held out."""
-    rows = M.with_vector(modelled(spark, folder), COLUMNS)
+    rows = M.with_vector(modelled(spark, folder), MODEL_COLUMNS)
     scored = M.probabilities(M.activity_model(rows.filter(~F.col("is_test"))), rows)
     predicted = M.two_part_prediction(amounts(scored)).filter("is_test")
     return rounded_columns(M.r_squared(predicted, "target", "prediction"), 4)
