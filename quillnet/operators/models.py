@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -325,7 +326,7 @@ def train_networks(
 ) -> list[list[tuple[float, float]]]:
     """Trains all networks side by side, one pass over the rows an epoch; the errors in and out of training before each epoch.
 
-    Ends when no network's training error has fallen by ``tolerance`` of itself over the last ten epochs.
+    Ends when no network's training error has fallen by ``tolerance`` of itself over the last ten epochs; warns if ``epochs`` end it before.
     """
     columns = list(columns)
     rows = cut_lineage(rows.select(*columns, F.col(target).alias("_y"), F.col("fold").alias("_fold")))
@@ -350,6 +351,8 @@ def train_networks(
             networks[k].step(part, epoch, alpha, rate)
         if epoch > 10 and all(e[-11][0] - e[-1][0] < tolerance * e[-11][0] for e in errors):
             break
+    else:
+        warnings.warn(f"networks still falling after {epochs} epochs", stacklevel=2)
     return errors
 
 
@@ -357,7 +360,7 @@ class PerceptronRegressor:
     """The network of the shape with the least cross-validated error, trained on the whole data with Adam and an L2 penalty."""
 
     def __init__(self, columns: Sequence[str], shapes: Sequence[Sequence[int]] = SHAPES, alpha: float = 0.1, rate: float = 0.02,
-                 epochs: int = 200, tolerance: float = 1e-2, seed: int = 112358):
+                 epochs: int = 500, tolerance: float = 1e-2, seed: int = 112358):
         self.columns, self.shapes, self.alpha, self.rate = list(columns), [tuple(s) for s in shapes], alpha, rate
         self.epochs, self.tolerance, self.seed = epochs, tolerance, seed
         self.scores: list[tuple[tuple[int, ...], float]] = []

@@ -27,3 +27,12 @@ def test_elimination_ranks_all_role_entries(spark, folder, table, monkeypatch):
     monkeypatch.setattr(P, "modelled", lambda *args: table)
     names = {r.feature for r in P.feature_elimination(spark, folder).collect()}
     assert len([c for c in names if c.startswith("svd")]) == 64
+
+
+def test_a_fit_that_epochs_end_is_reported(spark):
+    rows = spark.createDataFrame([(float(k), float(k % 5), k % 3) for k in range(30)], "x double, target double, fold int")
+    model = M.PerceptronRegressor(["x"], shapes=[(3,)])
+    assert model.epochs >= 500
+    model.epochs = 2
+    with pytest.warns(UserWarning, match="2 epochs"):
+        model.fit(rows)
