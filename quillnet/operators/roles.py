@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quillnet.functions import columns as C
 from quillnet.operators.distributions import bin_index
 from quillnet.operators.projection import both_ways
+from quillnet.operators.skew import quantiles
 from quillnet.session import cut_lineage
 
 WORD_BITS = 64
@@ -128,15 +129,15 @@ def role_summary(summary: DataFrame, vectors: DataFrame, admins: DataFrame) -> D
 def log_binned(features: DataFrame, columns: Sequence[str], share: float = 0.5) -> DataFrame:
     """Vertical logarithmic bins: the lowest share of a column becomes 0, the same share of the rest 1, and so on.
 
-    Bins go on until the next one would hold less than one row. Borders are quantiles of one aggregate
-    pass, so no column is sorted as a whole.
+    Bins go on until the next one would hold less than one row. Borders are exact quantiles over ranges of
+    (column, value), so no column is sorted in one task.
     """
     rows = max(1, features.count())
     levels = max(1, math.ceil(math.log(rows) / -math.log(1.0 - share)))
     fractions = [1.0 - (1.0 - share) ** (i + 1) for i in range(levels)]
-    borders = features.agg(
-        F.struct(*[F.percentile_approx(c, fractions, 100_000).alias(c) for c in columns])
-    ).scalar()
+    cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])
+    found = quantiles(features.select(F.explode(cells).alias("_x")).select("_x.c", "_x.v"), ["c"], "v", fractions)
+    borders = found.agg(F.struct(*[F.max(F.when(F.col("c") == c, F.col("at"))).alias(c) for c in columns])).scalar()
     rows = features.withColumn("_b", borders)
 
     def bin_of(column: str):

@@ -20,3 +20,9 @@ def test_rank_search_tries_as_many_ranks_as_the_reference(spark, folder, monkeyp
     monkeypatch.setattr(R, "rank_search", lambda *args: search(*args, rounds=1, inner=1))
     ranks = [r.parts for r in role_plans.rank_search(spark, folder).collect()]
     assert len(set(ranks)) == 8 and all(1 <= r < 64 for r in ranks)
+
+
+def test_log_bins_separate_the_top_rows_of_a_large_column(spark):
+    rows = spark.range(2**18).selectExpr("id AS node", "double(id) AS x")
+    sizes = {r.x: r["count"] for r in R.log_binned(rows, ["x"]).groupBy("x").count().collect()}
+    assert sizes == {float(k): 2 ** (17 - k) for k in range(18)} | {18.0: 1}
