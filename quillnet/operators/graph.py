@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,7 +58,7 @@ def pagerank(edges: DataFrame, rounds: int = 100, damping: float = DAMPING, tole
     """PageRank of an undirected graph; no node of an edge list is dangling.
 
     Lineage is cut every few rounds; there the summed change of the last round is held against the
-    tolerance. ``rounds`` bounds the work where it is not reached.
+    tolerance. ``rounds`` bounds the work where it is not reached, with a warning.
     """
     links = written_links(edges)
     degrees = cut_lineage(links.groupBy(F.col("e2").alias("node")).agg(F.count(F.lit(1)).alias("degree")))
@@ -77,6 +79,9 @@ def pagerank(edges: DataFrame, rounds: int = 100, damping: float = DAMPING, tole
             ranks = state.select("node", "degree", "pagerank")
             if tolerance is not None and state.agg(F.sum("moved")).first()[0] < tolerance:
                 break
+    else:
+        if tolerance is not None:
+            warnings.warn(f"pagerank did not reach its tolerance in {rounds} rounds", stacklevel=2)
     drop_state(links)
     drop_state(degrees)
     return ranks.select("node", "pagerank")

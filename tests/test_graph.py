@@ -168,3 +168,8 @@ def test_louvain_level_ends_where_no_node_wants_to_move(edge_frame):
     for a, b in weights:
         assert score(found | {a: found[b]}) <= reached + 1e-12
         assert score(found | {b: found[a]}) <= reached + 1e-12
+
+
+def test_pagerank_reports_a_missed_tolerance(edge_frame):
+    with pytest.warns(UserWarning, match="tolerance"):
+        G.pagerank(edge_frame(graphs.STAR), rounds=2, tolerance=1e-12)
