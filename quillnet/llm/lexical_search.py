@@ -246,10 +246,11 @@ def search(
         wanted = [(row["item"], np.array([place[w] for w in row["terms"]], np.int64)) for row in rows]
         if not words:
             continue
-        vocabulary = spark.createDataFrame(list(place.items()), "term string, tid long")
-        listed = index.filter("term IS NOT NULL").join(vocabulary, "term").select("segment", "tid", "n", "docs", "freqs")
+        # Written, so that Spark knows how small it is and does not move the index for the join.
+        vocabulary = State(spark.createDataFrame(list(place.items()), "term string, tid long"), "vocabulary")
+        listed = index.filter("term IS NOT NULL").join(vocabulary.df, "term").select("segment", "tid", "n", "docs", "freqs")
         postings = State(listed, "postings")
-        written.append(postings)
+        written += [vocabulary, postings]
         weights = np.zeros(len(words), np.int64)
         for tid, df in postings.df.groupBy("tid").agg(F.sum("n")).collect():
             weights[tid] = math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df + 1)))
