@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillnet.functions import columns as C
@@ -15,6 +15,10 @@ SEED = 7
 EPSILON = 0.01
 # Draws of a block that start in one row.
 DRAWS_PER_ROW = 4096
+# Blocks up to this size are indexed by one window, larger ones over ranges.
+WINDOW_MEMBERS = 65_536
+# Terms of the Poisson distribution that are compared one by one before the rest is summed in a loop.
+PLAIN_TERMS = 14
 
 
 def shared_counts(members: DataFrame, group: Sequence[str], member: str, threshold: int = 0) -> DataFrame:
@@ -100,6 +104,35 @@ def block_chunks(
     return chunks.join(sizes, group)
 
 
+def _indexed(sized: DataFrame, group: list[str], member: str) -> DataFrame:
+    """Position of every member inside its block of ``k``, by value; the same number however a block is cut."""
+    few = F.col("k") <= WINDOW_MEMBERS
+    order = Window.partitionBy(*group).orderBy(member)
+    plain = sized.filter(few).withColumn("i", F.row_number().over(order).cast("bigint") - 1)
+    large = sized.filter(~few)
+    return plain if large.isEmpty() else plain.unionByName(ordered_index(large, group, member, "i"))
+
+
+def poisson_darts(rate: Column, uniform: Column) -> Column:
+    """The inverse Poisson distribution of ``rate`` at ``uniform``: the number of terms whose running total is at most it."""
+    term = total = F.exp(-rate)
+    darts = F.when(uniform < total, F.lit(0))
+    for k in range(1, PLAIN_TERMS):
+        term = term * rate / k
+        total = total + term
+        darts = darts.when(uniform < total, F.lit(k))
+    # The rare rest goes on from there, term by term, until no further term can matter.
+    steps = F.sequence(F.lit(PLAIN_TERMS), F.ceil(rate + 8 * F.sqrt(rate) + 30).cast("int") + PLAIN_TERMS)
+    start = F.struct(term.alias("term"), total.alias("total"), F.lit(PLAIN_TERMS).alias("darts"))
+
+    def advance(state, step):
+        term = state["term"] * rate / step
+        total = state["total"] + term
+        return F.struct(term.alias("term"), total.alias("total"), (state["darts"] + F.when(total <= uniform, 1).otherwise(0)).alias("darts"))
+
+    return darts.otherwise(F.aggregate(steps, start, advance, lambda state: state["darts"]))
+
+
 def _coin_pairs(
     sized: DataFrame, group: list[str], member: str, epsilon: float, method: str, seed: int
 ) -> DataFrame:
@@ -109,31 +142,20 @@ def _coin_pairs(
     exactly p, independently. The dart count is the inverse Poisson distribution at a 32-bit
     uniform number, which ends long before the last term tried.
     """
-    indexed = ordered_index(sized, group, member, "i")
+    indexed = _indexed(sized, group, member)
     rate = -(F.col("k") - 1 - F.col("i")) * F.log(F.lit(1.0) - C.keep_probability(F.col("k"), epsilon, method))
-    steps = F.sequence(F.lit(1), F.ceil(F.col("rate") + 8 * F.sqrt("rate") + 30).cast("int"))
-    start = F.struct(
-        F.exp(-F.col("rate")).alias("term"), F.exp(-F.col("rate")).alias("total"), F.lit(0).alias("darts")
-    )
-
-    def advance(state, step):
-        term = state["term"] * F.col("rate") / step
-        return F.struct(
-            term.alias("term"),
-            (state["total"] + term).alias("total"),
-            (state["darts"] + F.when(state["total"] <= F.col("u"), 1).otherwise(0)).alias("darts"),
-        )
-
     throws = (
         indexed.filter(F.col("i") < F.col("k") - 1)
         .withColumn("rate", rate)
         .withColumn("u", C.uniform_hash(member, *group, seed=seed))
-        .withColumn("darts", F.aggregate(steps, start, advance, lambda state: state["darts"]))
-        .filter(F.col("darts") > 0)
-        .withColumn("dart", F.explode(F.sequence(F.lit(1), "darts")))
+        .withColumn("darts", poisson_darts(F.col("rate"), F.col("u")))
+        # An outer explode: a filter on the darts would be pushed down and evaluate them again.
+        .withColumn("dart", F.explode_outer(F.when(F.col("darts") > 0, F.sequence(F.lit(1), "darts"))))
+        .filter("dart IS NOT NULL")
     )
     aim = F.floor(C.uniform_hash(member, *group, "dart", seed=seed + 1) * (F.col("k") - 1 - F.col("i")))
-    hits = throws.select(*group, F.col(member).alias("e1"), (F.col("i") + 1 + aim).alias("j")).distinct()
+    # One shuffle serves the distinct and the join.
+    hits = throws.select(*group, F.col(member).alias("e1"), (F.col("i") + 1 + aim).alias("j")).repartition(*group, "j").distinct()
     partners = indexed.select(*group, F.col(member).alias("e2"), F.col("i").alias("j"))
     return hits.join(partners, [*group, "j"])
 
@@ -148,7 +170,7 @@ def _counted_pairs(
     never a smaller sample. A number in [0, k(k-1)/2) is turned into a pair (i < j) and the indexes
     are joined back to members.
     """
-    indexed = ordered_index(sized, group, member, "i")
+    indexed = _indexed(sized, group, member)
     p = C.keep_probability(F.col("k"), epsilon, method)
     blocks = (
         sized.select(*group, "k")
