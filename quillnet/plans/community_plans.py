@@ -16,6 +16,7 @@ from quillnet.plans.feature_plans import rounded_columns
 from quillnet.plans.projection_plans import network, plain_edits
 from quillnet.plans.registry import query
 from quillnet.plans.views import per_measure, rounded
+from quillnet.session import scratch_path
 from quillnet.sources import warehouse as W
 
 
@@ -278,6 +279,20 @@ def louvain_di(spark, folder):
     return L.louvain(network(spark, folder), score=L.INDETERMINISM)
 
 
-@query("hierarchy_level")
+# A fixed hierarchy of three levels over the given communities.
+COARSER = (1, 4, 16)
+
+
+@query(
+    "hierarchy_level",
+    uses="user_comms",
+    sql=f"SELECT user_id AS node, (community_id // {COARSER[1]})::BIGINT AS community_id FROM user_comms",
+)
 def hierarchy_level(spark, folder):
-    return L.hierarchy_level(L.louvain(network(spark, folder), max_levels=1), 0)
+    """The middle level of a stored hierarchy, read without the others."""
+    users = W.user_communities(spark, folder)
+    path = scratch_path(spark, "hierarchy")
+    for level, share in enumerate(COARSER):
+        group = F.floor(F.col("community_id") / share).cast("bigint")
+        L.append_level(users.select(F.col("user_id").alias("node"), group.alias("community_id")), level, path)
+    return L.hierarchy_level(L.read_hierarchy(spark, path), 1)

@@ -2,10 +2,13 @@ import itertools
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from quillnet.operators import communities as K
 from quillnet.operators import graph as G
 from quillnet.operators import louvain as L
 from quillnet.operators import traversal as T
+from quillnet.session import cut_lineage
 from tests import graphs
 
 
@@ -173,3 +176,34 @@ def test_louvain_level_ends_where_no_node_wants_to_move(edge_frame):
 def test_pagerank_reports_a_missed_tolerance(edge_frame):
     with pytest.warns(UserWarning, match="tolerance"):
         G.pagerank(edge_frame(graphs.STAR), rounds=2, tolerance=1e-12)
+
+
+def test_moves_made_together_raise_the_score(spark, edge_frame):
+    """Every round of many moves raises both scores, from the first to the last."""
+    edges = edge_frame(graphs.random_graph(60, 0.12))
+    for score in (L.NEWMAN, L.INDETERMINISM):
+        links = L.both_ways(edges, "weight").selectExpr("e1", "e2", "CAST(weight AS DOUBLE) AS w")
+        state = links.groupBy("e1").agg(F.sum("w").alias("k")).selectExpr("e1 AS node", "e1 AS c", "k", "1D AS s", L.FIRST)
+        state = cut_lineage(state)
+        links = cut_lineage(L._with_weights(links, state))
+        m2, n = state.agg(F.sum("k"), F.sum("s")).first()
+        value = lambda s: K.modularity(edges, s.select("node", F.col("c").alias("community_id"))).first()[score]
+        before = value(state)
+        for _ in range(4):
+            wanted = cut_lineage(L.wanted_moves(links, state, m2, n, score))
+            if wanted.filter("rise > 0").isEmpty():
+                break
+            moved = cut_lineage(L.settled(wanted, m2, n, score))
+            assert moved.join(state.withColumnRenamed("c", "old"), "node").filter("c <> old").count()
+            state, now = moved, value(moved)
+            assert now > before
+            before = now
+
+
+def test_a_stored_hierarchy_reads_one_level(spark, tmp_path):
+    path = str(tmp_path / "levels")
+    for level in range(3):
+        L.append_level(spark.createDataFrame([(n, n // 2**level) for n in range(8)], "node long, community_id long"), level, path)
+    found = L.hierarchy_level(L.read_hierarchy(spark, path), 2)
+    assert as_map(found, "community_id") == {n: n // 4 for n in range(8)}
+    assert "PartitionFilters: [isnotnull(level" in found._jdf.queryExecution().toString()
