@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
@@ -17,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillnet.functions import columns as C
-from quillnet.session import cut_lineage
 
 SPLIT_SEED = 115
 TEST_SHARE = 0.2
@@ -106,14 +104,6 @@ def ridge_model(rows: DataFrame, penalties: Sequence[float] = (0.01, 0.1, 1.0),
     return _searched(estimator, grid, RegressionEvaluator(labelCol="target", metricName="r2"), rows, folds)
 
 
-def activity_model(rows: DataFrame, layers: Sequence[Sequence[int]] | None = None, steps: int = 100, folds: int = 3, seed: int = 112358):
-    """Multilayer perceptron for activity; hidden layers chosen by cross-validation."""
-    width = rows.schema["features"].metadata["ml_attr"]["num_attrs"]
-    estimator = MultilayerPerceptronClassifier(labelCol="active", seed=seed, maxIter=steps)
-    grid = ParamGridBuilder().addGrid(estimator.layers, [[width, *hidden, 2] for hidden in layers or SHAPES])
-    return _searched(estimator, grid, MulticlassClassificationEvaluator(labelCol="active", metricName="logLoss"), rows, folds)
-
-
 def probabilities(model, rows: DataFrame, name: str = "p") -> DataFrame:
     return model.transform(rows).withColumn(name, vector_to_array("probability")[1])
 
@@ -233,166 +223,6 @@ def ridge_curve(moments: Moments, order: Sequence[str], alpha: float = 0.1) -> l
     ]
 
 
-def logistic_elimination(rows: DataFrame, columns: Sequence[str], step: int = 1, penalty: float = 0.01) -> list[tuple[str, int]]:
-    """(column, rank): the ``step`` smallest coefficients leave in each round; rank 1 stays longest."""
-    left, ranks = list(columns), {}
-    while len(left) > 1:
-        model = logistic_model(with_vector(rows, left), [penalty])
-        order = np.argsort(np.abs(model.coefficients.toArray()), kind="stable")
-        out = [left[i] for i in order[: min(step, len(left) - 1)]]
-        for place, c in enumerate(out):
-            ranks[c] = len(left) - place
-        left = [c for c in left if c not in out]
-    ranks[left[0]] = 1
-    return [(c, ranks[c]) for c in columns]
-
-
-def logistic_curve(rows: DataFrame, order: Sequence[str], sizes: Sequence[int], penalty: float = 0.01) -> list[tuple[int, float]]:
-    """Weighted log-loss with the first columns of ``order``; size 0 predicts one half for everyone."""
-    points = []
-    for k in sizes:
-        if k == 0:
-            scored = rows.withColumn("p", F.lit(0.5))
-        else:
-            ready = with_vector(rows, order[:k])
-            scored = probabilities(logistic_model(ready, [penalty]), ready)
-        points.append((k, float(scored.agg(log_loss(F.col("active"), F.col("p"), F.col("weight"))).first()[0])))
-    return points
-
-
-# Perceptron regressors: gradients are summed over partitions, the few weights travel with the tasks.
-
-# The hidden layers searched.
-SHAPES = ((3,), (5,), (7,), (9,), (8, 3), (10, 3), (12, 4), (14, 5))
-
-
-class Network:
-    """Rectified layers with a linear output, their Adam state, and the fold they do not train on (-1: none)."""
-
-    def __init__(self, inputs: int, hidden: Sequence[int], fold: int = -1, seed: int = 112358):
-        self.sizes, self.fold = [inputs, *hidden, 1], fold
-        draw = np.random.default_rng(seed)
-        self.weights = [
-            draw.normal(0.0, np.sqrt(2.0 / a), size=(a, b)) for a, b in zip(self.sizes[:-1], self.sizes[1:])
-        ] + [np.full(b, 0.01) for b in self.sizes[1:]]
-        self.first = [np.zeros_like(w) for w in self.weights]
-        self.second = [np.zeros_like(w) for w in self.weights]
-
-    @property
-    def total(self) -> int:
-        """The sums one pass returns: the slopes, the squared error and the rows, in and out of the fold left out."""
-        return sum(w.size for w in self.weights) + 4
-
-    @staticmethod
-    def forward(weights: list[np.ndarray], x: np.ndarray) -> list[np.ndarray]:
-        depth = len(weights) // 2
-        layers = [x]
-        for i in range(depth):
-            z = layers[-1] @ weights[i] + weights[depth + i]
-            layers.append(np.maximum(z, 0.0) if i < depth - 1 else z)
-        return layers
-
-    @classmethod
-    def sums(cls, weights: list[np.ndarray], x: np.ndarray, y: np.ndarray, held: np.ndarray) -> np.ndarray:
-        depth = len(weights) // 2
-        layers = cls.forward(weights, x)
-        error = layers[-1] - y[:, None]
-        slopes: list[np.ndarray] = [np.zeros(0)] * len(weights)
-        back = error * ~held[:, None]
-        for i in reversed(range(depth)):
-            slopes[i], slopes[depth + i] = layers[i].T @ back, back.sum(axis=0)
-            if i:
-                back = (back @ weights[i].T) * (layers[i] > 0)
-        square = error[:, 0] ** 2
-        tail = [square[~held].sum(), (~held).sum(), square[held].sum(), held.sum()]
-        return np.concatenate([*[slope.ravel() for slope in slopes], tail])
-
-    def step(self, sums: np.ndarray, epoch: int, alpha: float, rate: float) -> None:
-        n, offset = max(1.0, sums[-3]), 0
-        for i, w in enumerate(self.weights):
-            slope = sums[offset : offset + w.size].reshape(w.shape) / n
-            offset += w.size
-            if w.ndim == 2:
-                slope = slope + alpha * w / n
-            self.first[i] = 0.9 * self.first[i] + 0.1 * slope
-            self.second[i] = 0.999 * self.second[i] + 0.001 * slope**2
-            move = (self.first[i] / (1 - 0.9**epoch)) / (np.sqrt(self.second[i] / (1 - 0.999**epoch)) + 1e-8)
-            self.weights[i] = w - rate * move
-
-
-def train_networks(
-    rows: DataFrame, columns: Sequence[str], target: str, networks: Sequence[Network], alpha: float, rate: float, epochs: int,
-    tolerance: float,
-) -> list[list[tuple[float, float]]]:
-    """Trains all networks side by side, one pass over the rows an epoch; the errors in and out of training before each epoch.
-
-    Ends when no network's training error has fallen by ``tolerance`` of itself over the last ten epochs; warns if ``epochs`` end it before.
-    """
-    columns = list(columns)
-    rows = cut_lineage(rows.select(*columns, F.col(target).alias("_y"), F.col("fold").alias("_fold")))
-    errors: list[list[tuple[float, float]]] = [[] for _ in networks]
-    totals = [network.total for network in networks]
-    for epoch in range(1, epochs + 1):
-        sent = [(network.weights, network.fold) for network in networks]
-
-        def partial(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            sums = [np.zeros(t) for t in totals]
-            for batch in batches:
-                x, y, fold = batch[columns].to_numpy(dtype=float), batch["_y"].to_numpy(dtype=float), batch["_fold"].to_numpy()
-                for k, (weights, held) in enumerate(sent):
-                    sums[k] += Network.sums(weights, x, y, fold == held)
-            yield pd.DataFrame({"i": np.arange(sum(totals)), "x": np.concatenate(sums)})
-
-        flat = np.zeros(sum(totals))
-        for row in rows.mapInPandas(partial, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
-            flat[row["i"]] = row["x"]
-        for k, part in enumerate(np.split(flat, np.cumsum(totals)[:-1])):
-            errors[k].append((part[-4] / max(1.0, part[-3]), part[-2] / max(1.0, part[-1])))
-            networks[k].step(part, epoch, alpha, rate)
-        if epoch > 10 and all(e[-11][0] - e[-1][0] < tolerance * e[-11][0] for e in errors):
-            break
-    else:
-        warnings.warn(f"networks still falling after {epochs} epochs", stacklevel=2)
-    return errors
-
-
-class PerceptronRegressor:
-    """The network of the shape with the least cross-validated error, trained on the whole data with Adam and an L2 penalty."""
-
-    def __init__(self, columns: Sequence[str], shapes: Sequence[Sequence[int]] = SHAPES, alpha: float = 0.1, rate: float = 0.02,
-                 epochs: int = 500, tolerance: float = 1e-2, seed: int = 112358):
-        self.columns, self.shapes, self.alpha, self.rate = list(columns), [tuple(s) for s in shapes], alpha, rate
-        self.epochs, self.tolerance, self.seed = epochs, tolerance, seed
-        self.scores: list[tuple[tuple[int, ...], float]] = []
-
-    def fit(self, rows: DataFrame, target: str = "target", folds: int = 3) -> list[float]:
-        """Returns the mean squared error of the chosen network before each epoch."""
-        make = lambda shape, fold: Network(len(self.columns), shape, fold, self.seed)
-        options = (self.alpha, self.rate, self.epochs, self.tolerance)
-        best = self.shapes[0]
-        if len(self.shapes) > 1:
-            tried = [make(shape, fold) for shape in self.shapes for fold in range(folds)]
-            errors = train_networks(rows, self.columns, target, tried, *options)
-            last = np.array([e[-1][1] for e in errors]).reshape(len(self.shapes), folds).mean(axis=1)
-            self.scores = list(zip(self.shapes, last.tolist()))
-            best = self.shapes[int(last.argmin())]
-        chosen = make(best, -1)
-        losses = train_networks(rows, self.columns, target, [chosen], *options)[0]
-        self.weights = chosen.weights
-        return [loss for loss, _ in losses]
-
-    def predict(self, rows: DataFrame, name: str = "amount") -> DataFrame:
-        weights, columns = self.weights, self.columns
-
-        @F.pandas_udf("double")
-        def forward(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-            for series in batches:
-                x = np.column_stack([s.to_numpy(dtype=float) for s in series])
-                yield pd.Series(Network.forward(weights, x)[-1][:, 0])
-
-        return rows.withColumn(name, forward(*[F.col(c).cast("double") for c in columns]))
-
-
 def two_part_prediction(rows: DataFrame, p: str = "p", amount: str = "amount") -> DataFrame:
     """Expected contribution: chance of being active times the amount when active."""
     return rows.withColumn("prediction", F.col(p) * F.col(amount))

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from quillnet.operators import bipartite as B
 from quillnet.operators import communities as K
+from quillnet.operators import elimination as Z
 from quillnet.operators import features as X
 from quillnet.operators import models as M
+from quillnet.operators import networks as N
 from quillnet.plans.community_plans import MET_MEANS, MET_STEPS, STANDING
 from quillnet.plans.distribution_plans import human
 from quillnet.plans.feature_plans import OWN, PEERS, TOUCHED, USER_ARTICLE, rounded_columns
@@ -171,8 +173,8 @@ def feature_elimination(spark, folder):
 
 @query("classifier_feature_elimination")
 def classifier_feature_elimination(spark, folder):
-    ranked = M.logistic_elimination(modelled(spark, folder), MODEL_COLUMNS)
-    return spark.createDataFrame(ranked, "feature string, rank int")
+    order, _ = Z.logistic_path(modelled(spark, folder), MODEL_COLUMNS)
+    return spark.createDataFrame([(c, k + 1) for k, c in enumerate(order)], "feature string, rank int")
 
 
 @query("top_feature_curve")
@@ -184,44 +186,40 @@ def top_feature_curve(spark, folder):
 
 @query("classifier_feature_curve")
 def classifier_feature_curve(spark, folder):
-    rows = modelled(spark, folder)
-    ranked = M.logistic_elimination(rows, MODEL_COLUMNS)
-    order = [c for c, _ in sorted(ranked, key=lambda r: r[1])]
-    return rounded_columns(spark.createDataFrame(M.logistic_curve(rows, order, range(len(order) + 1)), "n_features int, log_loss double"))
+    _, curve = Z.logistic_path(modelled(spark, folder), MODEL_COLUMNS)
+    return rounded_columns(spark.createDataFrame(curve, "n_features int, log_loss double"))
 
 
-@query("activity_classifier")
-def activity_classifier(spark, folder):
-    rows = M.with_vector(modelled(spark, folder), MODEL_COLUMNS)
-    model = M.activity_model(rows.filter(~F.col("is_test")))
-    return rounded_columns(M.probabilities(model, rows).select("user_id", "active", "p"))
+def with_chances(rows):
+    model = N.Perceptron(MODEL_COLUMNS, N.LOGISTIC)
+    return N.stored(model, rows.filter(~F.col("is_test")), "active").predict(rows, "p")
 
 
-def amounts(rows):
-    model = M.PerceptronRegressor(MODEL_COLUMNS)
-    model.fit(rows.filter((F.col("active") == 1) & ~F.col("is_test")))
-    return model.predict(rows)
+def with_amounts(rows):
+    model = N.Perceptron(MODEL_COLUMNS, N.SQUARED)
+    return N.stored(model, rows.filter((F.col("active") == 1) & ~F.col("is_test")), "target").predict(rows, "amount")
+
+
+@query("activity_classifier")
+def activity_classifier(spark, folder):
+    return rounded_columns(with_chances(modelled(spark, folder)).select("user_id", "active", "p"))
 
 
 @query("contribution_regressor")
 def contribution_regressor(spark, folder):
-    return rounded_columns(amounts(modelled(spark, folder)).select("user_id", "target", "amount"), 4)
+    return rounded_columns(with_amounts(modelled(spark, folder)).select("user_id", "target", "amount"), 4)
 
 
 @query("two_part_prediction")
 def two_part_prediction(spark, folder):
-    rows = M.with_vector(modelled(spark, folder), MODEL_COLUMNS)
-    scored = M.probabilities(M.activity_model(rows.filter(~F.col("is_test"))), rows)
-    predicted = M.two_part_prediction(amounts(scored))
+    predicted = M.two_part_prediction(with_amounts(with_chances(modelled(spark, folder))))
     return rounded_columns(predicted.select("user_id", "target", "prediction"), 4)
 
 
 @query("two_part_r2")
 def two_part_r2(spark, folder):
     """R squared of the two-part prediction on the log scale, over the rows held out."""
-    rows = M.with_vector(modelled(spark, folder), MODEL_COLUMNS)
-    scored = M.probabilities(M.activity_model(rows.filter(~F.col("is_test"))), rows)
-    predicted = M.two_part_prediction(amounts(scored)).filter("is_test")
+    predicted = M.two_part_prediction(with_amounts(with_chances(modelled(spark, folder)))).filter("is_test")
     return rounded_columns(M.r_squared(predicted, "target", "prediction"), 4)
 
 

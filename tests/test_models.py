@@ -1,6 +1,11 @@
+import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from quillnet.operators import elimination as Z
 from quillnet.operators import models as M
+from quillnet.operators import networks as N
 from quillnet.plans import model_plans as P
 
 
@@ -29,10 +34,78 @@ def test_elimination_ranks_all_role_entries(spark, folder, table, monkeypatch):
     assert len([c for c in names if c.startswith("svd")]) == 64
 
 
-def test_a_fit_that_epochs_end_is_reported(spark):
-    rows = spark.createDataFrame([(float(k), float(k % 5), k % 3) for k in range(30)], "x double, target double, fold int")
-    model = M.PerceptronRegressor(["x"], shapes=[(3,)])
-    assert model.epochs >= 500
-    model.epochs = 2
-    with pytest.warns(UserWarning, match="2 epochs"):
-        model.fit(rows)
+@pytest.fixture(scope="module")
+def small(spark):
+    """Rows with two telling columns, three weak ones and a constant."""
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(240, 5))
+    chance = 1 / (1 + np.exp(-(2 * x[:, 0] - 1.5 * x[:, 1] + 0.2 * x[:, 2])))
+    rows = [(*map(float, r), 0.0, int(draw.random() < p), float(1 + k % 3), float(r[0] ** 2 + r[1]), k % 3) for k, (r, p) in enumerate(zip(x, chance))]
+    return spark.createDataFrame(rows, "a double, b double, c double, d double, e double, f double, active int, weight double, target double, fold int").cache()
+
+
+def plain_logistic(x, y, w, penalty):
+    """Newton's method on one set of columns."""
+    z = np.column_stack([np.ones(len(x)), x])
+    shrink = np.array([0.0, *[penalty] * x.shape[1]])
+    beta = np.zeros(z.shape[1])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-z @ beta))
+        slope = z.T @ (w * (p - y)) / w.sum() + shrink * beta
+        beta -= np.linalg.solve((z * (w * p * (1 - p))[:, None]).T @ z / w.sum() + np.diag(shrink), slope)
+    loss = w @ (np.logaddexp(0, z @ beta) - y * (z @ beta)) / w.sum()
+    return beta, loss
+
+
+@pytest.mark.parametrize("ahead", [1, 3, 12])
+def test_elimination_and_curve_match_single_fits(small, ahead):
+    columns = list("abcdef")
+    order, curve = Z.logistic_path(small, columns, penalty=0.01, ahead=ahead)
+    table = small.toPandas()
+    y, w, left, gone = table["active"].to_numpy(float), table["weight"].to_numpy(), list(columns), []
+    while len(left) > 1:
+        beta, _ = plain_logistic(table[left].to_numpy(), y, w, 0.01)
+        gone.append(left.pop(int(np.abs(beta[1:]).argmin())))
+    assert order == [*left, *gone[::-1]]
+    assert [k for k, _ in curve] == list(range(7)) and curve[0][1] == pytest.approx(np.log(2))
+    for k, loss in curve[1:]:
+        kept = [c for c in columns if c in order[:k]]
+        assert loss == pytest.approx(plain_logistic(table[kept].to_numpy(), y, w, 0.01)[1], abs=1e-9)
+
+
+@pytest.mark.parametrize("kind, target", [(N.SQUARED, "target"), (N.LOGISTIC, "active")])
+def test_slopes_of_networks_match_differences(kind, target, small):
+    table = small.toPandas()
+    x, y, fold = table[list("abcde")].to_numpy(), table[target].to_numpy(float), table["fold"].to_numpy()
+    network = N.Network(5, (4, 3), 0.5, kind, fold=1)
+    judged = lambda theta: network.judged(theta, network.sums(theta, x, y, fold == 1))
+    _, slope, _ = judged(network.theta)
+    for i in range(0, len(slope), 3):
+        step = np.zeros_like(slope)
+        step[i] = 1e-6
+        assert slope[i] == pytest.approx((judged(network.theta + step)[0] - judged(network.theta - step)[0]) / 2e-6, abs=1e-5)
+
+
+def test_a_network_search_fits_and_is_stored(spark, small, monkeypatch):
+    make = lambda: N.Perceptron(["a", "b", "c"], N.LOGISTIC, shapes=[(3,), (4, 2)], alphas=(0.1, 1.0))
+    model = N.stored(make(), small, "active")
+    assert len(model.scores) == 4 and model.network.loss < 0.6
+    scored = model.predict(small, "p")
+    hits = scored.filter((F.col("p") >= 0.5) == (F.col("active") == 1)).count()
+    assert hits > 0.75 * 240
+    monkeypatch.setattr(N.Perceptron, "fit", lambda *args: pytest.fail("fitted again"))
+    again = N.stored(make(), small, "active")
+    assert (again.network.theta == model.network.theta).all() and again.scores == model.scores
+
+
+def test_a_fit_that_rounds_end_is_reported(small):
+    with pytest.warns(UserWarning, match="2 rounds"):
+        N.Perceptron(["a", "b"], N.SQUARED, shapes=[(3,)], alphas=(0.1,), rounds=2).fit(small, "target")
+
+
+def test_r_squared_matches_sql_on_written_predictions(spark, small, tmp_path):
+    predicted = small.selectExpr("target", "target + a * 0.3 AS prediction")
+    path = str(tmp_path / "predictions")
+    predicted.write.parquet(path)
+    sql = "SELECT 1 - sum((target - prediction) ** 2) / (count(*) * var_pop(target)) FROM read_parquet('" + path + "/*.parquet')"
+    assert M.r_squared(spark.read.parquet(path), "target", "prediction").first()[0] == pytest.approx(duckdb.sql(sql).fetchall()[0][0])
