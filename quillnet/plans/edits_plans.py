@@ -133,7 +133,7 @@ def admin_flag(spark, folder):
 @query(
     "fill_missing",
     uses="bipartite roles admins",
-    sql="""SELECT user_id, article_id, edit_date, coalesce(word_count, 0) IS NOT NULL AS has_words,
+    sql="""SELECT user_id, article_id, edit_date, round(coalesce(word_count, 0), 6) AS word_count,
       coalesce(role_id, -1) AS role_id, coalesce(username, 'none') AS admin_name
     FROM bipartite LEFT JOIN roles USING (user_id) LEFT JOIN admins USING (user_id)""",
 )
@@ -146,7 +146,7 @@ def fill_missing(spark, folder):
         "user_id",
         "article_id",
         "edit_date",
-        F.col("word_count").isNotNull().alias("has_words"),
+        F.round("word_count", 6).alias("word_count"),
         "role_id",
         F.col("username").alias("admin_name"),
     )

@@ -22,12 +22,8 @@ from quillnet.session import cut_lineage, scratch_path
 from quillnet.sources import warehouse as W
 
 COMMUNITY_COLUMNS = ["user_cavg", "user_csize", "article_cavg", "article_csize", "article_avg", "article_size"]
-ROLE_COLUMNS = ["svd0", "svd1", "svd2", "svd3"]
-COLUMNS = [*X.USER_FEATURES, *X.ARTICLE_FEATURES, *COMMUNITY_COLUMNS, *ROLE_COLUMNS, "lslt"]
-# The two assembled tables show the first entries of the role vector, as their SQL does; models read all of it.
-ROLE_WIDTH = 64
-MODEL_ROLES = [*ROLE_COLUMNS, *[f"svd{i}" for i in range(len(ROLE_COLUMNS), ROLE_WIDTH)]]
-MODEL_COLUMNS = [*X.USER_FEATURES, *X.ARTICLE_FEATURES, *COMMUNITY_COLUMNS, *MODEL_ROLES, "lslt"]
+ROLE_COLUMNS = [f"svd{i}" for i in range(64)]
+MODEL_COLUMNS = [*X.USER_FEATURES, *X.ARTICLE_FEATURES, *COMMUNITY_COLUMNS, *ROLE_COLUMNS, "lslt"]
 BASE_COLUMNS = [*X.USER_FEATURES, *X.ARTICLE_FEATURES]
 
 
@@ -41,7 +37,7 @@ def joined(spark, folder):
     tables = [
         communities.toDF("user_id", *COMMUNITY_COLUMNS[:2]),
         articles.toDF("user_id", *COMMUNITY_COLUMNS[2:]),
-        roles.select("user_id", *[F.element_at("vec", i + 1).alias(c) for i, c in enumerate(MODEL_ROLES)]),
+        roles.select("user_id", *[F.element_at("vec", i + 1).alias(c) for i, c in enumerate(ROLE_COLUMNS)]),
     ]
     tables = [t.withColumn("user_id", F.col("user_id").cast("string")) for t in tables]
     return M.feature_union(users, X.user_article_features(edits, humans), tables)
@@ -82,7 +78,7 @@ jn AS (SELECT own.*, coalesce(contribs.contrib, 0) AS y, touched.* EXCLUDE (user
   LEFT JOIN (SELECT * REPLACE (user_id::VARCHAR AS user_id) FROM from_pools) AS from_pools USING (user_id)
   LEFT JOIN (SELECT user_id::VARCHAR AS user_id, vec FROM vectors) v USING (user_id))"""
 ALL_VIEWS = "edits human firsts contribs bipartite user_comms article_comms vectors"
-JOINED_COLUMNS = [c for c in COLUMNS if c != "lslt"]
+JOINED_COLUMNS = [c for c in MODEL_COLUMNS if c != "lslt"]
 ROUNDED_SQL = ", ".join(f"round(coalesce({c}, 0)::DOUBLE, 4) AS {c}" for c in JOINED_COLUMNS)
 
 
@@ -107,7 +103,7 @@ def feature_union_join(spark, folder):
       round(ln(coalesce(sumlog_textdata, 0) + 1) + 1, 4) AS lslt FROM jn""",
 )
 def assemble_features(spark, folder):
-    return rounded_columns(assembled(spark, folder).select("user_id", "active", "target", *COLUMNS), 4)
+    return rounded_columns(assembled(spark, folder).select("user_id", "active", "target", *MODEL_COLUMNS), 4)
 
 
 SCALED = ["num_edits", "distinct_article", "sum_textdata", "big_edits", "p_minors", "t_interval"]
@@ -149,7 +145,7 @@ def logistic_retention(spark, folder):
 
 @query("feature_block_compare")
 def feature_block_compare(spark, folder):
-    blocks = {"base": BASE_COLUMNS, "base_roles": [*BASE_COLUMNS, *MODEL_ROLES], "all": MODEL_COLUMNS}
+    blocks = {"base": BASE_COLUMNS, "base_roles": [*BASE_COLUMNS, *ROLE_COLUMNS], "all": MODEL_COLUMNS}
     return M.block_comparison(modelled(spark, folder, -1.0, False), blocks)
 
 
