@@ -22,13 +22,14 @@ alike (giant texts once). An empty table gives no rows. Columns pass through; ``
 from __future__ import annotations
 
 import functools
+import hashlib
 import heapq
 import itertools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillnet.llm.common import State, by_group, query, table
@@ -36,7 +37,7 @@ from quillnet.llm.common import State, by_group, query, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 # Segments and pairs remembered by a worker, and characters it looks at together: both bound its memory.
 REMEMBERED = 100_000
-CHARS_TOGETHER = 250_000
+CHARS_TOGETHER = 500_000
 TOGETHER = 24
 BLANK = "▁"
 
@@ -60,6 +61,7 @@ class Pieces:
             self.raw[k] = piece.encode()
         for value, k in self.byte.items():
             self.raw[k] = bytes([value])
+        self.raw_of = np.array([*self.raw, None], object)[:-1]
         self.longest = max(map(len, self.id))
         self.count = count
         pairs = []
@@ -75,6 +77,8 @@ class Pieces:
         letters = sorted({c for piece in self.id for c in piece})
         self.letter = np.zeros(0x110000, np.int32)
         self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        # The piece of each letter, -1 for letters without one.
+        self.alone = np.array([-1, *(self.id.get(c, -1) for c in letters)], np.int64)
         self.inside = np.zeros((len(letters) + 1, len(letters) + 1), bool)
         for piece in self.id:
             where = self.letter[[ord(c) for c in piece]]
@@ -84,12 +88,6 @@ class Pieces:
         self.older: dict[str, bytes] = {}
         self.side: dict[tuple[int, int], bool] = {}
 
-    def segments(self, text: str) -> list[str]:
-        """The text cut wherever no piece can lie across."""
-        code = self.letter[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        cut = (np.flatnonzero(~self.inside[code[:-1], code[1:]]) + 1).tolist()
-        return [text[i:j] for i, j in zip([0, *cut], [*cut, len(text)])] if text else []
-
     def start_ids(self, text: str) -> list[int]:
         out: list[int] = []
         for c in text:
@@ -127,12 +125,24 @@ class Pieces:
         place = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[place] == key, self.pair_ids[place], -1)
 
-    def merge_together(self, rows: Sequence[list[int]]) -> list[bytes]:
-        """The same merges for many short segments in step."""
-        width = max(map(len, rows))
-        ids = np.full((len(rows), width + 1), -1, np.int64)
-        for k, row in enumerate(rows):
+    def start_together(self, segments: Sequence[str]) -> np.ndarray:
+        """``start_ids`` of many short segments, one row each, filled up with -1."""
+        code = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32)
+        start = self.alone[self.letter[code]]
+        length = np.fromiter(map(len, segments), np.int64, len(segments))
+        owner = np.repeat(np.arange(len(segments)), length)
+        # Letters without a piece are several bytes: their segments are laid one by one.
+        spelled = {int(k): self.start_ids(segments[k]) for k in np.unique(owner[start < 0])}
+        ids = np.full((len(segments), max(int(length.max()), max(map(len, spelled.values()), default=0)) + 1), -1, np.int64)
+        ids[owner, np.arange(len(code)) - np.repeat(np.cumsum(length) - length, length)] = start
+        for k, row in spelled.items():
             ids[k, : len(row)] = row
+        return ids
+
+    def merge_together(self, segments: Sequence[str]) -> list[bytes]:
+        """The same merges for many short segments in step."""
+        ids = self.start_together(segments)
+        rows, width = ids, ids.shape[1] - 1
         merged = self.look_up(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(rows), width)
         merged = np.column_stack([merged, np.full(len(rows), -1)])
         rank = np.where(merged >= 0, self.rank[merged], np.inf)
@@ -170,7 +180,7 @@ class Pieces:
             else:
                 self.seen[segment] = np.array(self.merge(self.start_ids(segment)), np.int32).tobytes()
         for group in short.values():
-            self.seen.update(zip(group, self.merge_together([self.start_ids(s) for s in group])))
+            self.seen.update(zip(group, self.merge_together(group)))
 
     def encode_plain(self, texts: Sequence[str]) -> list[np.ndarray]:
         """Ids of texts as they are, without the blank in front."""
@@ -184,15 +194,36 @@ class Pieces:
         return out
 
     def encode_few(self, texts: Sequence[str]) -> list[np.ndarray]:
-        cut = [self.segments(text) for text in texts]
+        """Ids of some texts, cut wherever no piece can lie across; equal segments are looked up once."""
+        whole = "".join(texts)
+        if not whole:
+            return [np.empty(0, np.int32) for _ in texts]
+        code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = self.letter[code]
+        text_end = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        border = np.ones(len(code) + 1, bool)
+        border[1:-1] = ~self.inside[letter[:-1], letter[1:]]
+        border[text_end] = True
+        place = np.flatnonzero(border)
+        which, segments = distinct_segments(whole, code, place[:-1], np.diff(place))
+        known = self.ids_of(segments)
+        flat = np.frombuffer(b"".join(known), np.int32)
+        length = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        taken = length[which]
+        stop = np.cumsum(taken)
+        ids = flat[np.repeat((np.cumsum(length) - length)[which] - (stop - taken), taken) + np.arange(stop[-1])]
+        ends = np.append(0, stop)[np.searchsorted(place, text_end)]
+        return np.split(ids, ends[:-1])
+
+    def ids_of(self, segments: Sequence[str]) -> list[bytes]:
+        """Packed ids of distinct segments, learnt where they are not remembered."""
         if len(self.seen) > REMEMBERED:
             self.seen, self.older = {}, self.seen
         seen, older = self.seen, self.older
-        unseen = {s for parts in cut for s in parts if s not in seen}
-        if unseen:
-            seen.update((s, older[s]) for s in unseen if s in older)
-            self.learn({s for s in unseen if s not in seen})
-        return [np.frombuffer(b"".join([seen[s] for s in parts]), np.int32) for parts in cut]
+        unseen = {s for s in segments if s not in seen}
+        seen.update((s, older[s]) for s in unseen if s in older)
+        self.learn({s for s in unseen if s not in seen})
+        return [seen[s] for s in segments]
 
     def beside(self, a: int, b: int) -> bool:
         """Whether two pieces may stand side by side."""
@@ -216,11 +247,25 @@ class Pieces:
         return out
 
     def decode(self, ids: Sequence[int]) -> str:
-        raw = self.raw
-        text = b"".join([raw[k] for k in ids]).decode("utf-8", "surrogatepass")
+        text = b"".join(self.raw_of[np.asarray(ids, np.int64)].tolist()).decode("utf-8", "surrogatepass")
         return text[1:] if text.startswith(" ") else text
 
 
+def distinct_segments(whole: str, code: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """For each segment of a text the number of its value, and the values: by hash, confirmed letter by letter."""
+    inside = np.arange(len(code)) - np.repeat(start, length)
+    hashed = (code + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    hashed = (hashed ^ (hashed >> np.uint64(29))) * np.cumprod(np.full(int(length.max()), 0xBF58476D1CE4E5B9, np.uint64))[inside]
+    _, first, which = np.unique(np.add.reduceat(hashed, start), return_index=True, return_inverse=True)
+    alike = first[which]
+    if (length == length[alike]).all() and (code == code[np.repeat(start[alike], length) + inside]).all():
+        begin = start[first]
+        return which, list(map(whole.__getitem__, map(slice, begin.tolist(), (begin + length[first]).tolist())))
+    number: dict[str, int] = {}
+    which = [number.setdefault(whole[a : a + n], len(number)) for a, n in zip(start.tolist(), length.tolist())]
+    return np.array(which), list(number)
+
+
 @functools.cache
 def pieces(path: str) -> Pieces:
     return Pieces(path)
@@ -395,17 +440,26 @@ def encode_texts(path: str):
 
 def encode(docs: DataFrame, text: str = "text", model: str = MODEL, chunk_chars: int = 32_768) -> DataFrame:
     """``docs`` with ``ids``, the piece ids of each whole text."""
-    if chunk_chars < 256:
-        raise ValueError("chunks must be longer than any two pieces")
     docs = docs.drop("ids")
     body = F.coalesce(F.col(text), F.lit(""))
-    giant = F.length(body) > chunk_chars
     plain = F.pandas_udf(encode_texts(model), "array<int>")
-    short = docs.filter(~giant).withColumn("ids", plain(body))
+    short = docs.filter(~giant(text, chunk_chars)).withColumn("ids", plain(body))
+    return short.select(*docs.columns, "ids").union(encode_giants(docs, text, model, chunk_chars))
+
+
+def giant(text: str, chunk_chars: int) -> Column:
+    """Whether a text is cut into chunks."""
+    if chunk_chars < 256:
+        raise ValueError("chunks must be longer than any two pieces")
+    return F.length(F.coalesce(F.col(text), F.lit(""))) > chunk_chars
 
+
+def encode_giants(docs: DataFrame, text: str, model: str, chunk_chars: int) -> DataFrame:
+    """The rows of ``docs`` with giant texts, with their ``ids``, by the scan over chunks."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.filter(giant).select(F.md5(body).alias("key"), body.alias("text"))
+    docs = docs.filter(giant(text, chunk_chars))
+    texts = docs.select(F.md5(text).alias("key"), F.col(text).alias("text"))
     longest = pieces(model).longest
     chunks = texts.groupBy("key").agg(F.first("text").alias("text")).mapInPandas(chunked(chunk_chars, longest), CHUNK)
     chunks = State(chunks.repartition(parts, "key", "chunk"), "chunks").df
@@ -415,8 +469,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, chunk_chars:
     traced = traced.mapInPandas(backtrace(model), "key string, chunk long, ids array<int>")
     whole = traced.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
     whole = whole.select(F.col("key").alias("_key"), F.flatten(F.col("parts.ids")).alias("ids"))
-    long = docs.filter(giant).withColumn("_key", F.md5(body)).join(whole, "_key").drop("_key")
-    return short.select(*docs.columns, "ids").union(long.select(*docs.columns, "ids"))
+    return docs.withColumn("_key", F.md5(text)).join(whole, "_key").select(*docs.columns, "ids")
 
 
 def decoded(model: str = MODEL):
@@ -429,20 +482,39 @@ def decoded(model: str = MODEL):
     return F.pandas_udf(run, "string")
 
 
-def summary(model: str):
-    def run(ids: pd.Series) -> pd.DataFrame:
-        import hashlib
+SUMMARY = "n_tokens long, ids_sha256 string, round_trip boolean"
+
+
+def digest(known: Pieces, ids: np.ndarray, text: str) -> tuple[int, str, bool]:
+    """The number of ids, their digest as little-endian 32-bit integers, and whether they decode to the text."""
+    return len(ids), hashlib.sha256(np.asarray(ids, "<i4").tobytes()).hexdigest(), known.decode(ids) == text
 
+
+def summaries(docs: DataFrame, text: str = "text", model: str = MODEL, chunk_chars: int = 32_768) -> DataFrame:
+    """``docs`` with ``summary``: the digest of what ``encode`` gives each whole text, decoded again from these ids.
+
+    Ids of short texts are digested in the task that encodes them and never leave it.
+    """
+
+    def straight(texts: pd.Series) -> pd.DataFrame:
+        known = pieces(model)
+        texts = [t or "" for t in texts]
+        coded = known.encode_plain([" " + t if t else "" for t in texts])
+        return pd.DataFrame([digest(known, ids, t) for ids, t in zip(coded, texts)], columns=DIGESTS)
+
+    def after(ids: pd.Series, texts: pd.Series) -> pd.DataFrame:
         known = pieces(model)
-        rows = [(len(x), hashlib.sha256(np.asarray(x, "<i4").tobytes()).hexdigest(), hashlib.sha256(known.decode(x).encode("utf-8", "surrogatepass")).hexdigest()) for x in ids]
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        return pd.DataFrame([digest(known, x, t) for x, t in zip(ids, texts)], columns=DIGESTS)
+
+    docs = docs.drop("ids", "summary")
+    short = docs.filter(~giant(text, chunk_chars)).withColumn("summary", F.pandas_udf(straight, SUMMARY)(F.col(text)))
+    long = encode_giants(docs, text, model, chunk_chars).withColumn("summary", F.pandas_udf(after, SUMMARY)(F.col("ids"), F.col(text)))
+    return short.select(*docs.columns, "summary").union(long.select(*docs.columns, "summary"))
+
 
-    return F.pandas_udf(run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+DIGESTS = [field.split()[0] for field in SUMMARY.split(", ")]
 
 
 @query("op10_sentence_pieces")
 def pieces_query(spark, folder):
-    coded = encode(table(spark, folder, "documents").select("doc_id", "text"))
-    found = coded.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), summary(MODEL)(F.col("ids")).alias("s"))
-    same = F.col("s.decoded_sha256") == F.sha2("text", 256)
-    return found.select("doc_id", "s.n_tokens", "s.ids_sha256", same.alias("round_trip"))
+    return summaries(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "summary.*")

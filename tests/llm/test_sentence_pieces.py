@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -61,6 +62,30 @@ def test_table_matches_the_library(spark):
     assert got == {r.doc_id: (LIBRARY.encode(r.text), r.text) for r in docs.collect()}
 
 
+def test_letters_without_a_piece_go_by_their_bytes_among_others():
+    known = sp.Pieces(sp.MODEL)
+    gone = known.letter[ord("t")]
+    known.alone[gone], lost = -1, known.id.pop("t")
+    assert known.start_together(["ate", "x"]).tolist()[0][:3] == known.start_ids("ate")
+    known.id["t"] = lost
+
+
+def test_segments_whose_hashes_meet_stay_apart(monkeypatch):
+    texts = ["the tea", "", "a hat, the tea", "\ud800", "\udc00 the"]
+    expected = [MODEL.encode_few([t])[0].tolist() if t else [] for t in texts]
+    assert [x.tolist() for x in MODEL.encode_few(texts)] == expected
+    monkeypatch.setattr(sp.np, "cumprod", np.zeros_like)
+    assert [x.tolist() for x in MODEL.encode_few(texts)] == expected
+
+
+def test_summaries_of_the_query_are_those_of_the_library(spark):
+    docs = table(prepare(spark), "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    for chunk_chars in (256, 32_768):
+        got = {r.doc_id: tuple(r.summary) for r in sp.summaries(docs, chunk_chars=chunk_chars).collect()}
+        sha = lambda text: hashlib.sha256(np.array(LIBRARY.encode(text or ""), "<i4").tobytes()).hexdigest()
+        assert got == {r.doc_id: (len(LIBRARY.encode(r.text or "")), sha(r.text), True) for r in docs.collect()}
+
+
 def test_edge_cases(spark):
     giant = "no blanks".replace(" ", "") * 300
     rows = [(1, None), (2, ""), (3, " "), (4, giant), (4, giant), (None, "▁ ▁"), (5, "\n\t\r\0 <s></s><unk><0x41>")]
@@ -71,3 +96,6 @@ def test_edge_cases(spark):
     assert found == sorted(((k, t, tuple(ids(t or ""))) for k, t in rows), key=str)
     assert {r.text: r.back for r in got.withColumn("back", sp.decoded()(got["ids"])).collect() if r.text} == {t: t for _, t in rows if t}
     assert sp.encode(docs.limit(0)).count() == 0
+    told = {(r.doc_id, r.text, r.summary.n_tokens, r.summary.round_trip) for r in sp.summaries(docs, chunk_chars=256).collect()}
+    assert told == {(k, t, len(ids(t or "")), True) for k, t in rows}
+    assert sp.summaries(docs.limit(0)).count() == 0
