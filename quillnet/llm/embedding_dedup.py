@@ -31,8 +31,6 @@ from quillnet.llm.common import State, by_group, components, query, table
 SLACK = 1e-9
 ROWS_AT_ONCE = 1024
 PAIRS_AT_ONCE = 50_000
-# Members without any id stand above all ids.
-NAMELESS = 1 << 62
 
 
 def directions(bodies: pd.Series, width: int) -> np.ndarray:
@@ -48,7 +46,7 @@ def directions(bodies: pd.Series, width: int) -> np.ndarray:
 def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         bodies = [np.asarray(v, np.float64).tobytes() for v in frame["vec"]]
-        yield pd.DataFrame({"cls": frame["cls"], "node": frame["node"], "copies": frame["copies"], "vec": bodies})
+        yield pd.DataFrame({"cls": frame["cls"], "least_id": frame["least_id"], "copies": frame["copies"], "vec": bodies})
 
 
 def moments(width: int):
@@ -177,9 +175,12 @@ def near_duplicates(
     # A class key of 64 bits is enough to add up links; members are the vectors themselves.
     rows = rows.withColumn("cls", F.xxhash64("vec"))
     distinct = rows.filter("vec IS NOT NULL").groupBy("vec", "cls").agg(
-        F.coalesce(F.min("vec_id"), F.col("cls").bitwiseAND(NAMELESS - 1) + NAMELESS).alias("node"), F.count(F.lit(1)).alias("copies")
+        F.min("vec_id").cast("string").alias("least_id"), F.count(F.lit(1)).alias("copies")
     )
-    members = State(distinct.mapInPandas(pack, "cls long, node long, copies long, vec binary"), "vectors")
+    packed = distinct.mapInPandas(pack, "cls long, least_id string, copies long, vec binary")
+    # Members are numbered as the table is written: ids may be any number, repeat or be missing.
+    node = F.monotonically_increasing_id().alias("node")
+    members = State(packed.select("cls", node, F.col("least_id").cast("long").alias("least_id"), "copies", "vec"), "vectors")
     size, width = members.df.agg(F.count(F.lit(1)), F.max(F.length("vec")) / 8).first()
     if not size:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -196,7 +197,7 @@ def near_duplicates(
     borders = np.unique(along.approxQuantile("at", shares, 0.25 / tiles)) if shares else np.empty(0)
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
 
-    placed = members.df.mapInPandas(
+    placed = members.df.drop("least_id").mapInPandas(
         place(basis[:, 0], borders, reach), "cls long, node long, copies long, vec binary, tile long, first long, last long"
     )
     met = placed.withColumn("partner", F.explode(F.sequence("first", "last"))).withColumn(
@@ -207,11 +208,15 @@ def near_duplicates(
     linked = components(found.df.filter("a IS NOT NULL").select("a", "b"))
     counts = found.df.filter("n > 0").groupBy("cls").agg(F.sum("n").alias("n"))
 
-    classes = members.df.select("cls", "node", "copies").join(counts, "cls", "left").join(linked, "node", "left")
-    classes = classes.select("cls", F.coalesce("root", "node").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"))
+    classes = members.df.select("cls", "node", "least_id", "copies").join(counts, "cls", "left").join(linked, "node", "left")
+    links = (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n")
+    classes = State(classes.select("cls", "least_id", F.coalesce("root", "node").alias("root"), links), "classes").df
+    # One row per component; a component without any id has none.
+    lowest = classes.groupBy("root").agg(F.min("least_id").alias("lowest"))
+    classes = classes.join(lowest, "root").select("cls", "lowest", "n")
     labelled = rows.withColumn("cls", F.when(F.col("vec").isNotNull(), F.col("cls"))).drop("vec").join(classes, "cls", "left")
-    root = F.coalesce("root", "vec_id")
-    labelled = labelled.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.when(root < NAMELESS, root).alias("component_id"))
+    component = F.coalesce("lowest", "vec_id").alias("component_id")
+    labelled = labelled.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component)
     return labelled.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 

@@ -47,8 +47,6 @@ FOLD = bytes.maketrans(UPPER, LOWER)
 LOW48 = np.uint64((1 << 48) - 1)
 CHUNK_TOKENS = 1_000_000
 CACHED_WORDS = 500_000
-# Members without any id stand above all ids.
-NAMELESS = 1 << 62
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -376,12 +374,12 @@ def jaccard_components(
     known = State(whole.mapInPandas(gather(percent), "doc_id long, n_shingles long, print binary, tokens binary"), "shingles")
 
     may = known.df.filter("tokens IS NOT NULL")
-    # Equal sets become one member; a class without any id stands under a hash of its set.
+    # Equal sets become one member, numbered as the table is written: ids may be any number, repeat or be missing.
     member = may.groupBy("print").agg(
-        F.coalesce(F.min("doc_id"), F.xxhash64("print").bitwiseAND(NAMELESS - 1) + NAMELESS).alias("node"), F.first("n_shingles").alias("n_shingles"),
-        F.first("tokens").alias("tokens"),
-    )
-    members = State(member.select("node", "print", "n_shingles", "tokens"), "members")
+        F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens")
+    )
+    node = F.monotonically_increasing_id().alias("node")
+    members = State(member.select(node, "least_id", "print", "n_shingles", "tokens"), "members")
     routed = members.df.select("node", "n_shingles", "tokens").mapInPandas(prefixes(percent), "token long, node long")
     hubs = routed.groupBy("token").agg(F.min("node").alias("b"), F.max("node").alias("top")).filter("b < top")
     forests = components(routed.join(hubs.select("token", "b"), "token").select(F.col("node").alias("a"), "b").distinct())
@@ -418,11 +416,14 @@ def jaccard_components(
     links = tasks.repartition(parts, "pair").sortWithinPartitions("pair", "root").mapInPandas(join_pairs(percent, fanout), "a long, b long")
     linked = components(links)
 
-    classes = members.df.select("print", "node").join(linked, "node", "left").select("print", F.coalesce("root", "node").alias("root"))
-    labelled = known.df.select("doc_id", "n_shingles", "print").join(classes, "print", "left")
-    label = F.coalesce("root", "doc_id")
-    result = State(labelled.select("doc_id", "n_shingles", F.when(label < NAMELESS, label).alias("component_id")), "components")
-    for state in (known, members, forests, placed, tops):
+    classes = members.df.select("print", "node", "least_id").join(linked, "node", "left")
+    classes = State(classes.select("print", "least_id", F.coalesce("root", "node").alias("root")), "classes")
+    # One row per component; a component without any id has none.
+    lowest = classes.df.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    named = classes.df.select("print", "root").join(lowest, "root").select("print", "component_id")
+    labelled = known.df.select("doc_id", "n_shingles", "print").join(named, "print", "left")
+    result = State(labelled.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), "components")
+    for state in (known, members, forests, placed, tops, classes):
         state.drop()
     return result.df
 

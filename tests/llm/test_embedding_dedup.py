@@ -55,6 +55,17 @@ def test_edge_cases(spark):
     assert got == sorted(expected, key=str)
 
 
+def test_any_number_is_an_id(spark):
+    rows = [(2**62, [1.0, 0.0]), (2**63 - 1, [1.0, 0.01]), (-(2**63), [0.0, 1.0]), (2**62 + 3, [0.01, 1.0]), (2**63 - 2, [-1.0, 0.0])]
+    frame = prepare(spark).createDataFrame([*rows, (None, [1.0, 0.02]), (None, [0.0, -1.0])], "vec_id long, embedding array<double>")
+    got = sorted((tuple(r) for r in embedding_dedup.near_duplicates(frame).collect()), key=str)
+    expected = [
+        (2**62, 2, 2**62, True), (2**63 - 1, 2, 2**62, False), (None, 2, 2**62, False), (None, 0, None, True),
+        (-(2**63), 1, -(2**63), True), (2**62 + 3, 1, -(2**63), False), (2**63 - 2, 0, 2**63 - 2, True),
+    ]
+    assert got == sorted(expected, key=str)
+
+
 def test_nothing_usable(spark):
     frame = prepare(spark).createDataFrame([(1, None)], "vec_id long, embedding array<float>")
     assert result(embedding_dedup.near_duplicates(frame)) == {1: (0, 1, True)}

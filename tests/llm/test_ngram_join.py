@@ -79,6 +79,14 @@ def test_edge_cases(spark):
     }
 
 
+def test_any_number_is_an_id(spark):
+    base = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    other = base.replace("a b c", "1 2 3 4 5 6 7 8 9")
+    rows = [(2**62, base), (2**63 - 1, base + " end"), (2**62 + 1, other), (2**63 - 2, other + " end"), (7, other), (-(2**63), "alone in its words"), (2**62 + 5, "lonely")]
+    docs = prepare(spark).createDataFrame([*rows, (None, base)], "doc_id long, text string")
+    assert result(ngram_join.jaccard_components(docs)) == brute(rows) | {None: (22, 2**62)}
+
+
 def test_empty_table(spark):
     docs = prepare(spark).createDataFrame([], "doc_id long, text string")
     assert ngram_join.jaccard_components(docs).count() == 0
