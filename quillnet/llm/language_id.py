@@ -32,17 +32,21 @@ def letters() -> np.ndarray:
 
 
 def gram_slots(text: str | None, slots: int, longest: int) -> Iterator[np.ndarray]:
-    """Slots of the n-grams of a whole text, slice by slice; slices overlap by what an n-gram needs."""
-    text = text or ""
-    for at in range(0, len(text), SLICE):
-        low = text[max(0, at - longest + 1) : at + SLICE].lower()
-        code = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+    """Slots of the n-grams of a whole text, slice by slice; the end of a slice, as n-grams see it, leads the next."""
+    low = (text or "").lower()
+    tail, tail_known, after_letter = np.empty(0, np.uint64), np.empty(0, bool), False
+    for at in range(0, len(low), SLICE):
+        code = np.frombuffer(low[at : at + SLICE].encode("utf-32-le", "surrogatepass"), np.uint32)
         known = letters()[code]
         code = np.where(known, code, 0).astype(np.uint64)
         keep = known.copy()
         keep[1:] |= known[:-1]  # one blank after each word
-        code, known = code[keep], known[keep]
-        fresh = 0 if at == 0 else longest - 1
+        keep[0] |= after_letter
+        after_letter = bool(known[-1])
+        code, known = np.append(tail, code[keep]), np.append(tail_known, known[keep])
+        fresh = len(tail)
+        first = max(0, len(code) - longest + 1)
+        tail, tail_known = code[first:], known[first:]
         hashed, some = np.zeros(len(code), np.uint64), np.zeros(len(code), bool)
         for n in range(1, longest + 1):
             m = len(code) - n + 1

@@ -16,11 +16,13 @@ def test_held_out_accuracy(spark):
 
 
 def test_slices_count_like_whole_texts(monkeypatch):
-    text = "Ça alors, 12 fois! straße.. " * 40
-    whole = language_id.counted(text, 512, 3)
-    monkeypatch.setattr(language_id, "SLICE", 10)
-    sliced = language_id.counted(text, 512, 3)
-    assert abs(int(whole.sum()) - int(sliced.sum())) <= 0.2 * whole.sum()
+    text = "Ça alors, 12 fois! straße.. ΟΔΟΣ Σ İI   " * 20 + " .. " * 30 + "a b"
+    for longest in (1, 3, 5):
+        monkeypatch.setattr(language_id, "SLICE", 200_000)
+        whole = language_id.counted(text, 512, longest)
+        for size in (1, 2, 3, 10, 37):
+            monkeypatch.setattr(language_id, "SLICE", size)
+            assert np.array_equal(language_id.counted(text, 512, longest), whole)
 
 
 def test_edge_cases(spark):
