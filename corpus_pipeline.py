@@ -1,8 +1,9 @@
 """From raw documents to token ids: STAGES in order, each written and read again as the next one's documents.
 
 A stage gets (spark, docs, sf_dir) and works on every document its predecessor kept. All but the last return the
-columns of documents. Null texts count as empty, which no quality rule lets pass; documents without an id cannot stand for a group
-and stay; repeated rows are one document after the second stage; an empty table gives no rows.
+columns of documents. Null texts count as empty, which no quality rule lets pass. A document is a row of one id and one text: repeated rows are
+one document after the second stage, further texts of an id are documents of their own, and so are those without an id,
+which stand for a group only if it has no id at all. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,12 +29,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by shared shingles, the one with the smallest id."""
+    """Of documents linked by shared shingles, the one with the smallest id; of equal ids, that of the smallest hash."""
     prepare(spark)
-    found = ngram_join.jaccard_components(docs)
-    first = found.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*COLUMNS).union(docs.filter("doc_id IS NULL").select(*COLUMNS))
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    found = ngram_join.jaccard_components(keyed, key="_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))
+    rows = keyed.select("_row", order.alias("_order")).distinct()
+    first = found.distinct().join(rows, "_row").groupBy("_group").agg(F.min("_order").alias("_order")).select("_order._row").distinct()
+    kept = keyed.join(first, "_row", "left_semi")
+    # The checksum keeps apart what the hash alone might not.
+    return kept.withColumn("_sum", F.crc32(F.col("text").cast("binary"))).dropDuplicates(["doc_id", "_row", "_sum"]).select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
