@@ -70,3 +70,14 @@ def test_whole_run_and_edge_cases(spark, tmp_path):
         frame.write.parquet(f"{tmp_path}/{folder}/documents.parquet")
         got = p.run(spark, f"{tmp_path}/{folder}")
         assert {r.doc_id for r in got.collect()} == ({1, None} if folder == "some" else set())
+
+
+def test_every_text_is_a_document_of_its_own(spark):
+    words = lambda mark: " ".join(f"{mark}{k}" for k in range(40))
+    texts = [(5, "a"), (5, "b"), (5, "b"), (3, "b"), (5, "c"), (None, "c"), (None, "d"), (None, "d"), (None, "e"), (2**63 - 1, "f"), (2**62, "f"), (-(2**63), "g")]
+    rows = [(i, words(mark), "en", "s", 1) for i, mark in texts] + [(None, words("d") + " more", "en", "s", 1), (9, words("g") + " more", "en", "s", 1)]
+    docs = prepare(spark).createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = p.near_duplicates(spark, docs, "").collect()
+    kept = sorted(((r.doc_id, r.text.split()[0][0]) for r in got), key=str)
+    assert kept == sorted([(5, "a"), (3, "b"), (5, "c"), (None, "d"), (None, "e"), (2**62, "f"), (-(2**63), "g")], key=str)
+    assert p.near_duplicates(spark, docs.limit(0), "").count() == 0
