@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 # Settings the results depend on (time zone, ANSI) and settings that keep skewed joins splittable.
 RUNTIME_SETTINGS = {
@@ -90,3 +91,16 @@ def next_state(df: DataFrame, *replaced: DataFrame) -> DataFrame:
     for old in replaced:
         drop_state(old)
     return state
+
+
+def write_level(df: DataFrame, path: str, level: int) -> DataFrame:
+    """The rows as one partition of a table with a partition per level, and read back."""
+    where = f"{path}/level={level}"
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
+def read_levels(like: DataFrame, path: str) -> DataFrame:
+    """All levels of a table of :func:`write_level`, with their number; the plan is the same for any number of levels."""
+    schema = StructType([*like.schema.fields, StructField("level", IntegerType())])
+    return like.sparkSession.read.schema(schema).parquet(path)

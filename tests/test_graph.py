@@ -1,5 +1,6 @@
 import itertools
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
@@ -41,10 +42,89 @@ def test_pagerank_sums_to_one_and_favours_the_hub(edge_frame):
     assert max(ranks, key=ranks.get) == 0
 
 
-def test_hits_converge_to_one_vector(edge_frame):
-    rows = G.hits(edge_frame(graphs.BRIDGED_CLIQUES), rounds=20).collect()
+def residual(edges, hubs):
+    """Of the squared adjacency matrix, relative to its largest eigenvalue, and the vector itself."""
+    order = sorted(hubs)
+    place = {node: i for i, node in enumerate(order)}
+    matrix = np.zeros((len(order), len(order)))
+    for a, b in edges:
+        matrix[place[a], place[b]] = matrix[place[b], place[a]] = 1
+    squared, x = matrix @ matrix, np.array([hubs[node] for node in order])
+    lead = np.linalg.eigvalsh(squared)[-1]
+    return np.linalg.norm(squared @ x - lead * x) / lead
+
+
+TWO_BLOCKS = [
+    *itertools.combinations(range(20), 2), *itertools.combinations(range(20, 40), 2), (0, 20),
+]
+
+
+@pytest.mark.parametrize("edges", [graphs.BRIDGED_CLIQUES, TWO_BLOCKS, graphs.TWO_TRIANGLES, graphs.random_graph(30, 0.2)])
+def test_hits_settle_whatever_the_gap(edge_frame, edges):
+    rows = G.hits(edge_frame(edges)).collect()
     assert sum(r.hub**2 for r in rows) == pytest.approx(1.0)
     assert all(r.hub == pytest.approx(r.authority, abs=1e-6) for r in rows)
+    assert residual(edges, {r.node: r.hub for r in rows}) < 1e-10
+
+
+def test_hits_with_uneven_blocks_and_a_small_gap(edge_frame):
+    """The second block is one link short, so power rounds would need thousands."""
+    edges = [pair for pair in TWO_BLOCKS if pair != (38, 39)]
+    hubs = as_map(G.hits(edge_frame(edges)), "hub")
+    assert residual(edges, hubs) < 1e-10
+    matrix = np.zeros((40, 40))
+    for a, b in edges:
+        matrix[a, b] = matrix[b, a] = 1
+    exact = np.abs(np.linalg.eigh(matrix)[1][:, -1])
+    assert [hubs[i] for i in range(40)] == pytest.approx(list(exact), abs=1e-7)
+
+
+def test_hits_of_a_star_split_hubs_from_leaves(edge_frame):
+    """A bipartite network has two leading eigenvalues; a start of ones gives both sides their share."""
+    rows = {r.node: (r.hub, r.authority) for r in G.hits(edge_frame(graphs.STAR)).collect()}
+    ones = np.ones(7)
+    matrix = np.zeros((7, 7))
+    matrix[0, 1:] = matrix[1:, 0] = 1
+    for _ in range(40):
+        authority = matrix @ ones
+        ones = matrix @ authority
+        ones, authority = ones / np.linalg.norm(ones), authority / np.linalg.norm(authority)
+    assert [rows[i][0] for i in range(7)] == pytest.approx(list(ones))
+    assert [rows[i][1] for i in range(7)] == pytest.approx(list(authority))
+
+
+def test_hits_without_links_and_out_of_sweeps(spark, edge_frame):
+    assert G.hits(spark.createDataFrame([], "e1 long, e2 long, weight long")).collect() == []
+    with pytest.warns(UserWarning, match="hits did not reach"):
+        G.hits(edge_frame(graphs.PATH), tolerance=0.0, sweeps=1, width=2)
+
+
+@pytest.mark.parametrize("nodes, density", [(150, 0.03), (60, 0.05)])
+def test_neighbourhood_sketches_stay_within_their_error(edge_frame, nodes, density):
+    edges = graphs.random_graph(nodes, density, seed=4)
+    table = graphs.neighbours(edges)
+    exact = [d for node in table for d in graphs.distances(table, node).values()]
+    found = as_map(T.neighbourhood_function(edge_frame(edges), lg_k=10), "pairs")
+    assert set(range(max(exact) + 1)) <= set(found)
+    for level in found:
+        true = sum(d <= level for d in exact)
+        assert abs(found[level] - true) <= 3 * 1.04 / 2**5 * true
+    row = T.sketched_diameter(edge_frame(edges), lg_k=12).first()
+    assert row.average_path == pytest.approx(sum(exact) / len(exact), rel=0.05)
+
+
+def plan_size(frame):
+    return len(frame._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_plans_of_searches_do_not_grow_with_the_diameter(edge_frame):
+    short, long = ([(i, i + 1) for i in range(n)] for n in (3, 14))
+    for measure in (
+        lambda e: T.neighbourhood_function(e, 8), T.spanning_forest, lambda e: T.betweenness(e)[0], lambda e: T.betweenness(e)[1],
+        T.effective_diameter,
+    ):
+        small, large = plan_size(measure(edge_frame(short))), plan_size(measure(edge_frame(long)))
+        assert large < 1.05 * small
 
 
 def test_core_numbers_by_peeling(edge_frame):
