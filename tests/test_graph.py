@@ -114,14 +114,14 @@ def test_neighbourhood_sketches_stay_within_their_error(edge_frame, nodes, densi
 
 
 def plan_size(frame):
-    return len(frame._jdf.queryExecution().optimizedPlan().toString())
+    """Operators of the plan, one a line; its characters vary with the digits of column numbers."""
+    return len(frame._jdf.queryExecution().optimizedPlan().toString().splitlines())
 
 
 def test_plans_of_searches_do_not_grow_with_the_diameter(edge_frame):
     short, long = ([(i, i + 1) for i in range(n)] for n in (3, 7))
     for measure in (lambda e: T.neighbourhood_function(e, 8), lambda e: T.betweenness(e)[1], T.effective_diameter):
-        small, large = plan_size(measure(edge_frame(short))), plan_size(measure(edge_frame(long)))
-        assert large < 1.05 * small
+        assert plan_size(measure(edge_frame(short))) == plan_size(measure(edge_frame(long)))
 
 
 def test_core_numbers_by_peeling(edge_frame):
