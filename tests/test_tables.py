@@ -12,6 +12,7 @@ from quillnet.operators import edits as E
 from quillnet.operators import models as M
 from quillnet.operators import roles as R
 from quillnet.operators import similarity as S
+from quillnet.session import cut_lineage
 from quillnet.sources import edit_log as L
 from quillnet.sources import tables as T
 from quillnet.sources import warehouse as W
@@ -179,3 +180,18 @@ def test_edge_lists_names_and_assignments(spark, edge_frame, tmp_path):
     roles = tmp_path / "roles.txt"
     roles.write_text("----\n  1\t3\n  2\t4\n")
     assert sorted(map(tuple, T.read_assignments(spark, str(roles), "user_id INT, role_id INT").collect())) == [(1, 3), (2, 4)]
+
+
+def test_beginnings_hold_what_first_quarters_and_labels_need(spark, folder):
+    human = cut_lineage(E.human_edits(W.edits(spark, folder)))
+    begun = cut_lineage(E.beginnings(human))
+    assert begun.count() < human.count() / 4
+    rows = lambda frame: sorted(map(tuple, frame.collect()), key=repr)
+    assert rows(E.first_quarter_edits(begun).select("user_id", "article_id", "rev_id", "t")) == rows(E.first_quarter_edits(human).select("user_id", "article_id", "rev_id", "t"))
+    assert dict(rows(E.next_period_contribution(begun))) == pytest.approx(dict(rows(E.next_period_contribution(human))))
+
+
+def test_names_meet_the_orders_before_the_lines(spark, folder):
+    plan = W.edits(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    depth = {word: next(line.index("Relation") for line in plan.splitlines() if "Relation" in line and word in line) for word in ("l_orderkey", "c_custkey")}
+    assert depth["c_custkey"] > depth["l_orderkey"]
