@@ -47,3 +47,11 @@ def test_darts_follow_the_inverse_poisson_distribution(spark):
     frame = spark.createDataFrame(cases, "rate double, u double")
     got = frame.select("rate", "u", P.poisson_darts(F.col("rate"), F.col("u")).alias("n")).collect()
     assert all(r.n == darts(r.rate, r.u) for r in got)
+
+
+def test_pairs_are_counted_in_tasks_of_bounded_size(spark, monkeypatch):
+    members = spark.range(60).selectExpr("id % 2 AS article_id", "id AS user_id")  # two groups of 30, 870 pairs
+    monkeypatch.setattr(P, "PAIRS_PER_TASK", 100)
+    counts = P.user_projection(members)
+    assert counts.rdd.getNumPartitions() == 9
+    assert counts.count() == 870 and counts.filter("shared_articles != 1 OR e1 >= e2").isEmpty()
