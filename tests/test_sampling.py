@@ -55,3 +55,16 @@ def test_pairs_are_counted_in_tasks_of_bounded_size(spark, monkeypatch):
     counts = P.user_projection(members)
     assert counts.rdd.getNumPartitions() == 9
     assert counts.count() == 870 and counts.filter("shared_articles != 1 OR e1 >= e2").isEmpty()
+
+
+def test_pairs_of_large_groups_are_counted_without_a_shuffle_of_pairs(spark):
+    """40 groups of 70 to 80 of 80 members: rows go to cells, and the only shuffle after them is that of rows."""
+    members = spark.range(40 * 80).selectExpr("id div 80 AS article_id", "id % 80 * 1000003 - 5 AS user_id").filter("pmod(user_id, 79) >= article_id % 11")
+    counts = P.shared_counts(members, ["article_id"], "user_id")
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "direct_shuffle_partition_id(_cell" in plan
+    first, second = members.toDF("article_id", "e1"), members.toDF("article_id", "e2")
+    expected = first.join(second, "article_id").filter("e1 < e2").groupBy("e1", "e2").agg(F.count("*").alias("n"))
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, expected.collect()))
+    strong = P.shared_counts(members, ["article_id"], "user_id", 38)
+    assert sorted(map(tuple, strong.collect())) == sorted(map(tuple, expected.filter("n > 38").collect()))
