@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -284,3 +285,27 @@ def test_a_stored_hierarchy_reads_one_level(spark, tmp_path):
     found = L.hierarchy_level(L.read_hierarchy(spark, path), 2)
     assert as_map(found, "community_id") == {n: n // 4 for n in range(8)}
     assert "PartitionFilters: [isnotnull(level" in found._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("words", [None, 2])
+def test_searches_keep_many_lanes_in_a_row(edge_frame, monkeypatch, words):
+    """150 sources are three lanes, but a level has no more rows than nodes (and blocks of lanes)."""
+    draw, rows = random.Random(8), []
+    edges = sorted({tuple(sorted(draw.sample(range(150), 2))) for _ in range(260)})
+    nodes = sorted({v for e in edges for v in e})
+    kept = T.next_state
+    monkeypatch.setattr(T, "next_state", lambda df, *old: (state := kept(df, *old), rows.append(state.count()))[0])
+    links = T.written_links(edge_frame(edges))
+    sources = links.sparkSession.createDataFrame(list(zip(nodes, range(len(nodes)))), "node long, idx long")
+    levels = T.bfs_levels(links, sources, *([] if words is None else [words])).collect()
+    assert max(rows) <= len(nodes) * (1 if words is None else 2)
+    near = {v: {b if a == v else a for a, b in edges if v in (a, b)} for v in nodes}
+    expected = {}
+    for idx, source in enumerate(nodes):
+        seen, front, level = set(), {source}, 0
+        while front:
+            reached, fresh = expected.get((level, idx // 64), (0, 0))
+            expected[level, idx // 64] = reached + len(front), fresh | 1 << idx % 64
+            seen |= front
+            front, level = {n for v in front for n in near[v]} - seen, level + 1
+    assert {(r.level, r.lane): (r.reached, r.fresh % 2**64) for r in levels} == expected
