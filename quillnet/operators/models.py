@@ -6,8 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
@@ -16,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillnet.functions import columns as C
+from quillnet.operators.logistic_search import searched
 
 SPLIT_SEED = 115
 TEST_SHARE = 0.2
@@ -89,12 +89,11 @@ def _searched(estimator, grid, evaluator, rows: DataFrame, folds: int):
     return search.fit(rows).bestModel
 
 
-def logistic_model(rows: DataFrame, penalties: Sequence[float] = (0.001, 0.01, 0.1), folds: int = 3):
-    """L2 logistic regression on balanced classes, the penalty chosen by cross-validation."""
-    estimator = LogisticRegression(labelCol="active", weightCol="weight", elasticNetParam=0.0, maxIter=100, tol=1e-4)
-    grid = ParamGridBuilder().addGrid(estimator.regParam, list(penalties))
-    evaluator = BinaryClassificationEvaluator(labelCol="active", weightCol="weight")
-    return _searched(estimator, grid, evaluator, rows, folds)
+def logistic_model(rows: DataFrame, columns: Sequence[str], penalties: Sequence[float] = (0.001, 0.01, 0.1), folds: int = 3, name: str = "p") -> DataFrame:
+    """The chance of being active by L2 logistic regression on balanced classes, the penalty chosen by cross-validation."""
+    fitted, _ = searched(rows, {name: columns}, penalties, folds)
+    names, model = fitted[name]
+    return rows.withColumn(name, model.chance(names))
 
 
 def ridge_model(rows: DataFrame, penalties: Sequence[float] = (0.01, 0.1, 1.0), folds: int = 3):
@@ -147,13 +146,9 @@ def classification_metrics(df: DataFrame, label: str, p: str) -> DataFrame:
 def block_comparison(
     rows: DataFrame, blocks: dict[str, Sequence[str]], penalties: Sequence[float] = (0.001, 0.01, 0.1)
 ) -> DataFrame:
-    """Weighted log-loss of the logistic model on several groups of columns, each with its own cross-validated penalty."""
-    results = []
-    for name, columns in blocks.items():
-        ready = with_vector(rows, columns)
-        model = logistic_model(ready, penalties)
-        loss = probabilities(model, ready).agg(log_loss(F.col("active"), F.col("p"), F.col("weight"))).first()[0]
-        results.append((name, len(columns), float(loss)))
+    """Weighted log-loss of the logistic model on several groups of columns, each with its own cross-validated penalty; fitted in shared passes."""
+    _, losses = searched(rows, blocks, penalties)
+    results = [(name, len(columns), losses[name]) for name, columns in blocks.items()]
     return rows.sparkSession.createDataFrame(results, "block string, n_features int, log_loss double")
 
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillnet.operators import elimination as Z
+from quillnet.operators import logistic_search as S
 from quillnet.operators import models as M
 from quillnet.operators import networks as N
 from quillnet.plans import model_plans as P
@@ -109,3 +110,35 @@ def test_r_squared_matches_sql_on_written_predictions(spark, small, tmp_path):
     predicted.write.parquet(path)
     sql = "SELECT 1 - sum((target - prediction) ** 2) / (count(*) * var_pop(target)) FROM read_parquet('" + path + "/*.parquet')"
     assert M.r_squared(spark.read.parquet(path), "target", "prediction").first()[0] == pytest.approx(duckdb.sql(sql).fetchall()[0][0])
+
+
+def test_a_search_of_penalties_matches_single_fits(spark, small, monkeypatch):
+    """Blocks, folds and penalties share their passes and reach what plain Newton steps reach; a constant column gets no weight."""
+    passes, summed = [], S.summed
+    monkeypatch.setattr(S, "summed", lambda *args: (passes.append(1), summed(*args))[1])
+    penalties = (0.001, 0.01, 0.1)
+    fitted, losses = S.searched(small, {"few": list("abc"), "all": list("abcdef")}, penalties)
+    assert len(passes) < 20
+    table = small.toPandas()
+    y, w, fold = table["active"].to_numpy(float), table["weight"].to_numpy(), table["fold"].to_numpy()
+    for block, columns in (("few", list("abc")), ("all", list("abcde"))):
+        names, model = fitted[block]
+
+        def fit(rows, penalty):
+            x, v = table[columns].to_numpy(), w[rows]
+            mean = v @ x[rows] / v.sum()
+            deviation = np.sqrt(v @ (x[rows] - mean) ** 2 / (v.sum() - v @ v / v.sum()))
+            beta, loss = plain_logistic((x[rows] - mean) / deviation, y[rows], v, penalty)
+            return beta[0] + (x - mean) / deviation @ beta[1:], loss
+
+        def area(z, rows):
+            ones, zeros = rows & (y == 1), rows & (y == 0)
+            above = (z[ones][:, None] > z[zeros]) + 0.5 * (z[ones][:, None] == z[zeros])
+            return w[ones] @ above @ w[zeros] / (w[ones].sum() * w[zeros].sum())
+
+        scores = [np.mean([area(fit(fold != k, p)[0], fold == k) for k in range(3)]) for p in penalties]
+        assert scores[penalties.index(model.penalty)] == pytest.approx(max(scores), abs=1e-9)
+        margin, loss = fit(np.full(len(y), True), model.penalty)
+        assert losses[block] == pytest.approx(loss, abs=1e-9)
+        chances = small.select(model.chance(names).alias("p")).toPandas()["p"].to_numpy()
+        assert chances == pytest.approx(1 / (1 + np.exp(-margin)), abs=1e-7)
