@@ -309,3 +309,13 @@ def test_searches_keep_many_lanes_in_a_row(edge_frame, monkeypatch, words):
             seen |= front
             front, level = {n for v in front for n in near[v]} - seen, level + 1
     assert {(r.level, r.lane): (r.reached, r.fresh % 2**64) for r in levels} == expected
+
+
+def test_core_estimates_are_not_broadcast(edge_frame, monkeypatch):
+    plans, kept = [], G.next_state
+    monkeypatch.setattr(G, "next_state", lambda df, *old: (plans.append(df._jdf.queryExecution().executedPlan().toString()), kept(df, *old))[1])
+    edges = edge_frame(graphs.random_graph())
+    sizes = G.core_sizes(edges, G.core_numbers(edges))
+    assert len(plans) > 0 and not any("BroadcastHashJoin" in plan for plan in plans)
+    joins = [line for line in sizes._jdf.queryExecution().executedPlan().toString().splitlines() if "Join [e" in line]
+    assert len(joins) == 2 and all("SortMergeJoin" in line for line in joins)
