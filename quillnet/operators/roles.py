@@ -26,13 +26,16 @@ def neighbour_role_mean(edges: DataFrame, vectors: DataFrame, width: int, weight
     """Mean role vector of each node's neighbours.
 
     The weighted form averages vectors of unit sum scaled by the edge weight. One average per
-    position is combined before the shuffle, so no list of neighbours is ever built.
+    position is combined before the shuffle, so no list of neighbours is ever built. Sums are taken once a vector, before it
+    meets its links, and a position is scaled where it is averaged. Null entries count in no mean.
     """
-    told = vectors.select(F.col("user_id").alias("e2"), "vec")
+    total = C.vector_sum(F.filter("vec", lambda x: x.isNotNull())).alias("total")
+    told = vectors.select(F.col("user_id").alias("e2"), "vec", *([total] if weighted else []))
     rows = both_ways(edges, "weight").join(told, "e2")
+    entries = C.positions("vec", width)
     if weighted:
-        rows = rows.withColumn("vec", C.vector_scale(C.unit_sum(F.col("vec")), F.col("weight")))
-    return rows.groupBy(F.col("e1").alias("user_id")).agg(C.mean_vector("vec", width).alias("neighbour_vec"))
+        entries = [F.when(F.col("total") != 0, x / F.col("total")).otherwise(x * 0.0) * F.col("weight") for x in entries]
+    return rows.groupBy(F.col("e1").alias("user_id")).agg(F.array(*[F.avg(x) for x in entries]).alias("neighbour_vec"))
 
 
 def leave_self_out_role_mean(vectors: DataFrame, width: int) -> DataFrame:
