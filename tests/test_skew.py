@@ -120,3 +120,13 @@ def test_dense_ids_and_relabel(spark, edge_frame):
     nodes, moved = P.relabel(edges, "weight")
     assert {r.node: r.rank for r in nodes.collect()} == {7: 1, 10: 2, 40: 3, 2**41: 4}
     assert {(r.e1, r.e2) for r in moved.collect()} == {(2, 3), (3, 4), (1, 2)}
+
+
+def test_pairs_are_made_in_tasks_of_bounded_rows(spark, monkeypatch):
+    """Rows that meet to make pairs are dealt to a number of tasks by their count; small bytes made few tasks of many pairs."""
+    monkeypatch.setattr(P, "ROWS_PER_TASK", 6)
+    members = spark.range(120).selectExpr("id % 40 AS g", "id AS m")
+    counts = P.shared_counts(members, ["g"], "m")
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [g") == 2 and "_col#" in plan and ", 20" in plan
+    assert sorted(map(tuple, counts.collect())) == sorted((a, b, 1) for a in range(120) for b in range(a + 40, 120, 40))
