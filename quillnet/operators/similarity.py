@@ -5,10 +5,11 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillnet.operators.skew import group_pairs, ordered_index
+from quillnet.operators.skew import group_pairs
+from quillnet.session import cut_lineage
 
 # Fixed value: a prime below 2**31, so that a * (id mod prime) + b stays inside 63 bits.
 HASH_PRIME = 2038074743
@@ -22,12 +23,12 @@ def with_distance(shared: DataFrame, sizes: DataFrame, within: Sequence[str], en
     """Jaccard distance of pairs from the number of shared items and the two set sizes."""
     first = sizes.select(*within, F.col(entity).alias("e1"), F.col("d").alias("d1"))
     second = sizes.select(*within, F.col(entity).alias("e2"), F.col("d").alias("d2"))
-    union = F.col("d1") + F.col("d2") - F.col("n")
-    return (
-        shared.join(first, [*within, "e1"])
-        .join(second, [*within, "e2"])
-        .select(*within, "e1", "e2", (F.lit(1.0) - F.col("n") / union).alias("distance"))
-    )
+    return shared.join(first, [*within, "e1"]).join(second, [*within, "e2"]).select(*within, "e1", "e2", _distance())
+
+
+def _distance() -> Column:
+    """Jaccard distance of two sets of ``d1`` and ``d2`` items that share ``n``."""
+    return (F.lit(1.0) - F.col("n") / (F.col("d1") + F.col("d2") - F.col("n"))).alias("distance")
 
 
 def overlapping_pairs(members: DataFrame, within: Sequence[str], entity: str, item: str) -> DataFrame:
@@ -40,16 +41,23 @@ def overlapping_pairs(members: DataFrame, within: Sequence[str], entity: str, it
 def verified_pairs(
     candidates: DataFrame, members: DataFrame, within: Sequence[str], entity: str, item: str, threshold: float
 ) -> DataFrame:
-    """Candidates whose exact distance is below the threshold."""
-    first = members.select(*within, F.col(entity).alias("e1"), item)
-    second = members.select(*within, F.col(entity).alias("e2"), item)
+    """Candidates whose exact distance is below the threshold.
+
+    ``members`` may carry the sizes of their sets as ``_d``, and then need no items that only one set has.
+    """
+    sized = "_d" in members.columns
+    first = members.select(*within, F.col(entity).alias("e1"), item, *([F.col("_d").alias("d1")] if sized else []))
+    second = members.select(*within, F.col(entity).alias("e2"), item, *([F.col("_d").alias("d2")] if sized else []))
     shared = (
         candidates.join(first, [*within, "e1"])
         .join(second, [*within, "e2", item])
-        .groupBy(*within, "e1", "e2")
+        .groupBy(*within, "e1", "e2", *(["d1", "d2"] if sized else []))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    pairs = with_distance(shared, set_sizes(members, within, entity), within, entity)
+    if sized:
+        pairs = shared.select(*within, "e1", "e2", _distance())
+    else:
+        pairs = with_distance(shared, set_sizes(members, within, entity), within, entity)
     return pairs.filter(F.col("distance") < threshold)
 
 
@@ -66,22 +74,14 @@ def close_pairs(
     rows = members.select(*within, entity, item).distinct()
     frequency = rows.groupBy(*within, item).agg(F.count(F.lit(1)).alias("_f"))
     rows = rows.join(frequency, [*within, item])
-    steps = rows.groupBy(*within, entity, "_f").agg(F.count(F.lit(1)).alias("_n"))
-    over = Window.partitionBy(*within, entity)
-    steps = steps.select(
-        *within,
-        entity,
-        "_f",
-        F.coalesce(F.sum("_n").over(over.orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(
-            "_before"
-        ),
-        F.sum("_n").over(over).alias("_d"),
-    )
-    placed = ordered_index(rows, [*within, entity, "_f"], item, "_place").join(steps, [*within, entity, "_f"])
+    mine = Window.partitionBy(*within, entity)
+    placed = rows.withColumn("_place", F.row_number().over(mine.orderBy("_f", item)) - 1).withColumn("_d", F.count(F.lit(1)).over(mine))
     needed = F.ceil(F.lit(1.0 - threshold) * F.col("_d") - 1e-9)
-    prefix = placed.filter(F.col("_before") + F.col("_place") < F.col("_d") - needed + 1)
-    candidates = group_pairs(prefix, [*within, item], entity).select(*within, "e1", "e2").distinct()
-    return verified_pairs(candidates, rows.drop("_f"), within, entity, item, threshold)
+    # An item of one set alone counts for the set's size and is in no pair, so it goes no further.
+    shared = placed.filter("_f > 1").select(*within, entity, item, "_d", (F.col("_place") < F.col("_d") - needed + 1).alias("_early"))
+    shared = cut_lineage(shared)
+    candidates = group_pairs(shared.filter("_early"), [*within, item], entity).select(*within, "e1", "e2").distinct()
+    return verified_pairs(candidates, shared, within, entity, item, threshold)
 
 
 def hash_family(tables: int, seed: int = 7) -> list[tuple[int, int]]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillnet.operators import bipartite as B
 from quillnet.operators import communities as K
 from quillnet.operators import features as X
+from quillnet.operators import similarity as S
 from quillnet.operators import skew
 
 EDITS = "user_id string, username string, article_id long, timestamp timestamp, minor boolean, textdata int"
@@ -86,3 +87,13 @@ def test_figures_of_a_users_community_are_over_all_rows(spark):
     communities = spark.createDataFrame([(1, 5), (2, 5), (3, 6), (4, 6)], "user_id long, community_id int")
     found = {r.user_id: (r.avg_yval, r.c_size) for r in K.user_community_features(given, communities).collect()}
     assert found == {1: (3.0, 3), 2: (3.0, 3), 3: (1.0, 1)}
+
+
+def test_items_of_one_set_go_no_further_than_its_size(spark, monkeypatch):
+    rows = [(1, 1, a) for a in (1, 2, 3, 90)] + [(1, 2, a) for a in (1, 2, 3, 91)] + [(1, 3, 92), (2, 1, 1), (None, 4, 1), (1, 5, None)]
+    members = spark.createDataFrame(rows + rows[:3], "g int, u long, a long")
+    moved = []
+    monkeypatch.setattr(S, "cut_lineage", lambda df: moved.append(df) or df)
+    found = S.close_pairs(members, ["g"], "u", "a", 0.5).collect()
+    assert [tuple(r) for r in found] == [(1, 1, 2, pytest.approx(1 - 3 / 5))]
+    assert sorted((r.u, r.a, r["_d"]) for r in moved[0].collect()) == [(u, a, 4) for u in (1, 2) for a in (1, 2, 3)]
