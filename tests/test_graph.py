@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillnet.operators import communities as K
 from quillnet.operators import graph as G
+from quillnet.operators import inside as I
 from quillnet.operators import louvain as L
 from quillnet.operators import traversal as T
 from quillnet.session import cut_lineage
@@ -374,3 +375,51 @@ def test_louvain_takes_few_rounds_and_keeps_only_rises(edge_frame, monkeypatch):
     start = edges.selectExpr("inline(array(named_struct('node', e1), named_struct('node', e2)))").distinct().selectExpr("node", "node AS community_id")
     rise = K.modularity(edges, found).first().modularity - K.modularity(edges, start).first().modularity
     assert max(k[0] for k in kept) - kept[0][0] == pytest.approx(rise * m2, abs=1e-6)
+
+
+def spread_out(edges):
+    """Three components, one with a hub and a long tail."""
+    return [*edges, (100, 101), *[(100, leaf) for leaf in range(200, 290)], *[(300 + k, 301 + k) for k in range(10)]]
+
+
+@pytest.mark.parametrize("limit", [1 << 24, 8])
+def test_searches_inside_tasks_and_between_them_agree(edge_frame, monkeypatch, limit):
+    """Whole components go to tasks and no state is written where they fit; both ways give brute force."""
+    levels = []
+    for name in ("write_level", "bfs_levels"):
+        kept = getattr(T, name)
+        monkeypatch.setattr(T, name, lambda *a, kept=kept, name=name: levels.append(name) or kept(*a))
+    monkeypatch.setattr(I, "MOST_LINKS", limit)
+    monkeypatch.setattr(I, "BUNDLE_BITS", 5)
+    monkeypatch.setattr(I, "STATE_BYTES", 1 << 16)  # few sources at once
+    edges = spread_out(graphs.random_graph(40, 0.15))
+    table = graphs.neighbours(edges)
+    far = {v: max(graphs.distances(table, v).values()) for v in table}
+    assert as_map(T.eccentricities(edge_frame(edges)), "eccentricity") == far
+    assert levels.count("bfs_levels") == (limit == 8)
+    levels.clear()
+    nodes, links = T.betweenness(edge_frame(edges))
+    assert as_map(nodes, "betweenness") == pytest.approx(graphs.betweenness(edges))
+    assert len(levels) == 1 if limit > 8 else len(levels) > 10
+    flows = {(r.e1, r.e2): r.betweenness for r in links.collect()}
+    assert flows.keys() == set(edges) and flows[(100, 101)] == pytest.approx(91.0) and flows[(300, 301)] == pytest.approx(10.0)
+
+
+def test_sampled_sources_inside_tasks_scale_up(edge_frame, monkeypatch):
+    edges = edge_frame(graphs.random_graph(60, 0.1))
+    inside = as_map(T.node_betweenness(edges, source_fraction=0.5), "betweenness")
+    monkeypatch.setattr(I, "MOST_LINKS", 8)
+    assert as_map(T.node_betweenness(edges, source_fraction=0.5), "betweenness") == pytest.approx(inside)
+    assert sum(inside.values()) > 0
+
+
+def test_more_sources_than_a_row_holds(spark):
+    """A cycle of 150 nodes: eccentricities by words of 64 sources, and flows that are equal everywhere."""
+    a = np.repeat(np.arange(150, dtype=np.int32), 2)
+    b = np.array([sorted(((v - 1) % 150, (v + 1) % 150)) for v in range(150)], np.int32).ravel()
+    every = np.arange(150, dtype=np.int32)
+    links = I.Links([a], [b], every)
+    assert set(I.eccentricity_of(links, every)) == {75}
+    total, flows = I.dependencies_of(links, every, True)
+    assert np.ptp(total) < 1e-9 and np.ptp(I.both_flows(links, flows)[2]) < 1e-9
+    assert total[0] == pytest.approx(150 * (sum(range(75)) * 2 + 75) / 150 - 149)
