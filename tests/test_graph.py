@@ -423,3 +423,49 @@ def test_more_sources_than_a_row_holds(spark):
     total, flows = I.dependencies_of(links, every, True)
     assert np.ptp(total) < 1e-9 and np.ptp(I.both_flows(links, flows)[2]) < 1e-9
     assert total[0] == pytest.approx(150 * (sum(range(75)) * 2 + 75) / 150 - 149)
+
+
+@pytest.mark.parametrize("score", [L.NEWMAN, L.INDETERMINISM])
+def test_louvain_rounds_inside_tasks_are_those_between_them(spark, monkeypatch, score):
+    """Two components of weighted links: the same communities in a few passes over the network instead of one per round."""
+    draw = random.Random(11)
+    pairs = graphs.random_graph(90, 0.12) + [(a + 500, b + 500) for a, b in graphs.random_graph(40, 0.2)]
+    edges = spark.createDataFrame([(a, b, draw.randrange(1, 4)) for a, b in pairs], "e1 long, e2 long, weight long").cache()
+    passes, found, wanted = [], {}, L.wanted_moves
+    monkeypatch.setattr(L, "wanted_moves", lambda *a: passes.append(1) or wanted(*a))
+    for limit in (1 << 24, 8):
+        monkeypatch.setattr(I, "MOST_LINKS", limit)
+        passes.clear()
+        levels = {(r.level, r.node): r.community_id for r in L.louvain(edges, score).collect()}
+        found[limit] = levels, len(passes)
+    assert found[8][0] == found[1 << 24][0]
+    assert found[1 << 24][1] <= 9 < found[8][1]
+
+
+@pytest.mark.parametrize("score", [L.NEWMAN, L.INDETERMINISM])
+@pytest.mark.parametrize("caution", L.CAUTIONS)
+def test_one_round_in_arrays(spark, score, caution):
+    draw = random.Random(5)
+    pairs = {(a, b): draw.randrange(1, 5) for a, b in graphs.random_graph(70, 0.15)}
+    nodes = sorted({v for pair in pairs for v in pair})
+    ways = sorted([(a, b, float(w)) for (a, b), w in pairs.items()] + [(b, a, float(w)) for (a, b), w in pairs.items()])
+    k = {v: sum(w for a, _, w in ways if a == v) for v in nodes}
+    c = {v: nodes[draw.randrange(len(nodes))] for v in nodes}
+    m2, n = sum(k.values()), float(len(nodes))
+    links = spark.createDataFrame([(a, b, w, k[a], 1.0) for a, b, w in ways], "e1 long, e2 long, w double, k double, s double")
+    state = spark.createDataFrame([(v, c[v], k[v], 1.0, 3) for v in nodes], "node long, c long, k double, s double, turn long")
+    table = L.wanted_moves(links, state, m2, n, score)
+    expected = {r.node: (r.held, r.rise, r.target if r.rise else None) for r in table.collect()}
+    moved = {r.node: r.c for r in L.settled(table, m2, n, score, caution).collect()}
+    at = {v: p for p, v in enumerate(nodes)}
+    a, b, w = (np.array(x) for x in zip(*[(at[a], at[b], w) for a, b, w in ways]))
+    rounds = L.Rounds(a, b, w, np.array(nodes), np.array([k[v] for v in nodes]), np.ones(len(nodes)), m2, n, score)
+    here = np.array([at[c[v]] for v in nodes])
+    target, held, rise = found = rounds.wanted(here)
+    assert sum(x > 0 for x in rise) > 10
+    for v, p in at.items():
+        assert (held[p], rise[p]) == pytest.approx(expected[v][:2], abs=1e-8)
+        assert expected[v][2] in (None, nodes[target[p]])
+    after = rounds.settled(here, 3, found, caution)
+    assert {v: nodes[after[p]] for v, p in at.items()} == moved
+    assert moved != c
