@@ -469,3 +469,21 @@ def test_one_round_in_arrays(spark, score, caution):
     after = rounds.settled(here, 3, found, caution)
     assert {v: nodes[after[p]] for v, p in at.items()} == moved
     assert moved != c
+
+
+def test_cores_and_sketches_inside_tasks_and_between_them_agree(edge_frame, monkeypatch):
+    """Peeling and hops of whole components in tasks, with few tables written, against rounds over all links."""
+    written, kept = [], I.cut_lineage.__globals__["scratch_path"]
+    monkeypatch.setitem(I.cut_lineage.__globals__, "scratch_path", lambda *a: written.append(a[1]) or kept(*a))
+    edges = spread_out(graphs.random_graph(80, 0.1))
+    found, tables = {}, {}
+    monkeypatch.setattr(I, "BUNDLE_BITS", 4)
+    for limit in (1 << 24, 8):
+        monkeypatch.setattr(I, "MOST_LINKS", limit)
+        written.clear()
+        pairs = as_map(T.neighbourhood_function(edge_frame(edges), 8), "pairs")
+        tables[limit] = len(written)
+        found[limit] = pairs, as_map(G.core_numbers(edge_frame(edges)), "core")
+    assert found[8][1] == found[1 << 24][1] == graphs.core_numbers(edges)
+    assert found[8][0] == pytest.approx(found[1 << 24][0], abs=2) and len(found[8][0]) == 11
+    assert tables[1 << 24] < tables[8]
